@@ -86,7 +86,7 @@ def dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFra
     gone = scratch.save(repeated_lines(spark, docs, window, scratch), "gone")
     keyed = docs.withColumns({"__gw_id": identity()[0], "__gw_h": identity()[1]})
     gone = gone.select(F.col("_id").alias("__gw_id"), F.col("_h").alias("__gw_h"), F.col("gone").alias("__gw_gone"))
-    found = keyed.join(gone, ["__gw_id", "__gw_h"], "left").withColumn("_gone", F.coalesce("__gw_gone", F.array().cast("array<int>")))
+    found = keyed.join(gone.hint("merge"), ["__gw_id", "__gw_h"], "left").withColumn("_gone", F.coalesce("__gw_gone", F.array().cast("array<int>")))
     kept = F.array_join(F.filter(lines_of(F.col("text")), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     return found.withColumn("text", F.when(F.size("_gone") > 0, kept).otherwise(F.col("text"))).drop("__gw_id", "__gw_h", "__gw_gone")
 
