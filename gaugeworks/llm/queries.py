@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import bpe, hamming_search, line_dedup, minhash_dedup, packing, quality, secret_scan, sharding, substring_dedup
+from gaugeworks.llm import bpe, hamming_search, line_dedup, minhash_dedup, nn_descent, packing, quality, secret_scan, sharding, substring_dedup
 from gaugeworks.tables import load
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_line_dedup": lambda spark, sf_dir: line_dedup.report(spark, load(spark, sf_dir, "documents")),
     "op7_hamming_search": lambda spark, sf_dir: hamming_search.report(spark, load(spark, sf_dir, "embeddings")),
     "op8_minhash_dedup": lambda spark, sf_dir: minhash_dedup.report(spark, load(spark, sf_dir, "documents"), shingle=2, percent=80),
+    "op9_nn_descent": lambda spark, sf_dir: nn_descent.report(spark, load(spark, sf_dir, "embeddings")),
     "op10_bpe": lambda spark, sf_dir: bpe.report(load(spark, sf_dir, "documents")),
 }
 
