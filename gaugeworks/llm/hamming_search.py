@@ -17,7 +17,7 @@ Rows with a null id take no part; of rows that share an id each is a candidate.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -73,15 +73,15 @@ def search(spark: SparkSession, codes: DataFrame, queries: DataFrame, k: int) ->
     best = spark.createDataFrame([], "q bigint, found array<struct<distance:int,code:bigint>>")
     open_queries, done = asked, []
     for r in range(SEGMENT + 1):
-        if r > LAST_RADIUS or len(list(combinations(range(SEGMENT), r))) > max(n, 64):
+        if r > LAST_RADIUS or comb(SEGMENT, r) > max(n, 64):
             hits = everything(scratch, index, open_queries, open_queries.count(), k)
             limit = BITS
         else:
-            masks = F.array(*[F.lit(sum(1 << b for b in bits)) for bits in combinations(range(SEGMENT), r)]) if r else F.array(F.lit(0))
+            masks = F.filter(F.sequence(F.lit(0), F.lit((1 << SEGMENT) - 1)), lambda m, r=r: F.bit_count(m) == r)
             segments = F.array(*[F.struct(F.lit(s).alias("s"), segment(F.col("q"), s).alias("own")) for s in range(SEGMENTS)])
             probes = open_queries.select("q", F.explode(segments).alias("e")).select("q", "e.s", "e.own", F.explode(masks).alias("m"))
             probes = probes.select("q", "s", F.col("own").bitwiseXOR(F.col("m")).alias("v"))
-            hits = probes.join(entries, ["s", "v"]).select("q", "code")
+            hits = probes.join(entries.hint("merge"), ["s", "v"]).select("q", "code")
             limit = SEGMENTS * (r + 1) - 1
         new = hits.select("q", F.struct(distance(F.col("q"), F.col("code")).alias("distance"), "code").alias("hit")).distinct()
         old = best.select("q", F.explode("found").alias("hit"))
@@ -102,7 +102,7 @@ def search(spark: SparkSession, codes: DataFrame, queries: DataFrame, k: int) ->
 
 def kept_best(hits: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(q, hit) to (q, found, held, reach): the nearest codes that together hold the k + 1 least answers."""
-    sized = hits.select("q", "hit", F.col("hit.code").alias("code")).join(index.select("code", F.size("ids").alias("n")), "code")
+    sized = hits.select("q", "hit", F.col("hit.code").alias("code")).join(index.select("code", F.size("ids").alias("n")).hint("merge"), "code")
     before = Window.partitionBy("q").orderBy("hit.distance").rangeBetween(Window.unboundedPreceding, -1)
     # All codes of the distance at which k + 1 ids are reached stay: ids decide among them.
     near = sized.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") <= k)
