@@ -1,6 +1,6 @@
 """All queries of the evaluation analytics, gathered from the modules that register them."""
 
-from gaugeworks.plans import scoring_queries  # noqa: F401
+from gaugeworks.plans import inference_queries, scoring_queries  # noqa: F401
 from gaugeworks.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
