@@ -1,6 +1,12 @@
 """All queries of the evaluation analytics, gathered from the modules that register them."""
 
-from gaugeworks.plans import inference_queries, ledger_queries, scoring_queries  # noqa: F401
+from gaugeworks.plans import (  # noqa: F401
+    inference_queries,
+    ledger_queries,
+    regression_queries,
+    scoring_queries,
+    vector_queries,
+)
 from gaugeworks.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
