@@ -4,7 +4,9 @@ from gaugeworks.plans import (  # noqa: F401
     inference_queries,
     ledger_queries,
     regression_queries,
+    sampling_queries,
     scoring_queries,
+    text_queries,
     vector_queries,
 )
 from gaugeworks.plans.registry import ORACLES, QUERIES
