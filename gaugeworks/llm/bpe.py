@@ -1,6 +1,6 @@
 r"""Byte-level BPE encoding and decoding by recursive DuckDB queries, one engine per partition.
 
-A text is split by the tokenizer's pattern. Words not yet known to the worker go to an in-memory DuckDB: one row per (word, position, token),
+A text is split by the tokenizer's pattern. Words not yet known to the worker go to an in-memory DuckDB: one row per token of each word, in order,
 at first a row per byte. Each step of the recursion pairs every row with its right neighbour, joins the pairs with the merge table, and contracts in each word the leftmost
 pair of least rank; words without a pair drop out, and a word's last state is its encoding. Decoding joins the ids with the
 vocabulary and aggregates their bytes in order of position.
@@ -9,7 +9,7 @@ A recursive query takes at most ``STEPS`` steps over its words and is called aga
 A word of more than ``LONG`` bytes (a run of letters or spaces without an end) contracts in one step every occurrence of its least-ranked pair, if no
 pair that the new token can form has a lower rank than the token: then one at a time gives the same ids. Else it contracts one.
 
-Words, ids and bytes of up to ``CACHED_WORDS`` words are kept by each worker and forgotten all at once; this changes no result.
+Ids and bytes of at most about ``CACHED_WORDS`` words are kept by each worker. This changes no result.
 Nothing is shuffled. Null texts count as empty: no ids, and the digest of no bytes. Each row is encoded by itself.
 """
 
@@ -19,18 +19,21 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.common import WordCache, chunks
+
 RANKS = "byte_bpe_50k.tiktoken"
 STEPS = 24
 LONG = 96
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 WORDS_AT_ONCE = 60_000
 CHARS_AT_ONCE = 4_000_000
 
-_coders: dict[tuple[str, str], WordCoder] = {}
+_coders: dict[tuple[str, str], tuple] = {}
 
 
 class WordCoder:
@@ -38,11 +41,10 @@ class WordCoder:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         import duckdb
-        import pyarrow as pa
 
         self.db = duckdb.connect(config={"threads": "1", "memory_limit": "400MB", "temp_directory": ""})
-        self.pa = pa
-        vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())})
+        # Bytes are held as characters of the same number, so that text functions can join them.
+        vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": [b.decode("latin-1") for b in ranks]})
         pairs = []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -61,65 +63,75 @@ class WordCoder:
         self.db.register("merges_in", merges)
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
-        self.bytes_ids = [ranks[bytes([i])] for i in range(256)]
-
-    def _step(self, many: bool) -> str:
-        """The recursive query: states(word, pos, tok, step) from tokens(word, pos, tok)."""
-        # best: rank in the high bits, position in the low ones: the leftmost pair of least rank.
-        if many:
-            # Of a run of neighbouring occurrences every other one is contracted, from its left end.
-            made = """
-              runs AS (SELECT *, coalesce(rank = best >> 32, false) AS hit, row_number() OVER (PARTITION BY word ORDER BY pos) AS n FROM ranked),
-              islands AS (SELECT *, n - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS island FROM runs),
-              chosen AS (SELECT *, CASE WHEN NOT hit THEN false WHEN alone THEN pos = best & 4294967295
-                                        ELSE (row_number() OVER (PARTITION BY word, island, hit ORDER BY pos)) % 2 = 1 END AS here FROM islands)"""
-        else:
-            made = "chosen AS (SELECT *, rank IS NOT NULL AND pos = best & 4294967295 AS here FROM ranked)"
+        self.bytes_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+
+    def _one(self) -> str:
+        """The recursive query: every step contracts in each word the leftmost pair of least rank. id orders all rows, word by word."""
         return f"""
         WITH RECURSIVE states AS (
-          SELECT word, pos, tok, 0 AS step FROM tokens
+          SELECT id, word, tok, 0 AS step FROM tokens
           UNION ALL
-          SELECT word, pos, CASE WHEN here THEN rank ELSE tok END, step + 1 FROM (
-            WITH paired AS (SELECT word, pos, tok, step, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next FROM states WHERE step < {STEPS}),
+          SELECT id, word, CASE WHEN here THEN rank ELSE tok END, step + 1 FROM (
+            WITH paired AS (SELECT id, word, tok, step, CASE WHEN lead(word) OVER (ORDER BY id) = word THEN lead(tok) OVER (ORDER BY id) END AS next
+                            FROM states WHERE step < {STEPS}),
+              joined AS (SELECT p.*, m.rank FROM paired p LEFT JOIN merges m ON p.tok = m.a AND p.next = m.b),
+              least AS (SELECT word, min((rank::BIGINT << 32) + id) AS best FROM joined WHERE rank IS NOT NULL GROUP BY word),
+              chosen AS (SELECT j.*, coalesce(id = best & 4294967295, false) AS here FROM joined j JOIN least USING (word))
+            SELECT *, coalesce(lag(here) OVER (ORDER BY id), false) AS taken FROM chosen
+          ) WHERE NOT taken
+        )"""
+
+    def _many(self) -> str:
+        """The same for long words: contracts every occurrence of a word's least pair where that is safe. Of a run of
+        neighbouring occurrences every other one is contracted, from its left end."""
+        return f"""
+        WITH RECURSIVE states AS (
+          SELECT id, word, tok, 0 AS step FROM tokens
+          UNION ALL
+          SELECT id, word, CASE WHEN here THEN rank ELSE tok END, step + 1 FROM (
+            WITH paired AS (SELECT id, word, tok, step, lead(tok) OVER (PARTITION BY word ORDER BY id) AS next FROM states WHERE step < {STEPS}),
               joined AS (SELECT p.*, m.rank, m.alone FROM paired p LEFT JOIN merges m ON p.tok = m.a AND p.next = m.b),
-              ranked AS (SELECT *, min((rank::BIGINT << 32) + pos) OVER (PARTITION BY word) AS best FROM joined),
-              {made}
-            SELECT *, coalesce(lag(here) OVER (PARTITION BY word ORDER BY pos), false) AS taken FROM chosen WHERE best IS NOT NULL
+              ranked AS (SELECT *, min((rank::BIGINT << 32) + id) OVER (PARTITION BY word) AS best FROM joined),
+              runs AS (SELECT *, coalesce(rank = best >> 32, false) AS hit, row_number() OVER (PARTITION BY word ORDER BY id) AS n FROM ranked),
+              islands AS (SELECT *, n - row_number() OVER (PARTITION BY word, hit ORDER BY id) AS island FROM runs),
+              chosen AS (SELECT *, CASE WHEN NOT hit THEN false WHEN alone THEN id = best & 4294967295
+                                        ELSE (row_number() OVER (PARTITION BY word, island, hit ORDER BY id)) % 2 = 1 END AS here FROM islands)
+            SELECT *, coalesce(lag(here) OVER (PARTITION BY word ORDER BY id), false) AS taken FROM chosen WHERE best IS NOT NULL
           ) WHERE NOT taken
-        )
-        SELECT word, pos, tok, step FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM states) WHERE step = last"""
+        )"""
 
     def _encoded(self, words: list[tuple[int, bytes]], many: bool):
-        """Arrow table (word, pos, tok) of the words' final tokens."""
-        pa, db = self.pa, self.db
-        sizes = [len(b) for _, b in words]
-        ids = self.bytes_ids
+        """Arrow table (word, id, tok) of the words' final tokens; the order of ids in a word is that of its tokens."""
+        db = self.db
+        sizes = np.fromiter((len(b) for _, b in words), np.int64, len(words))
+        text = np.frombuffer(b"".join(b for _, b in words), np.uint8)
         left = pa.table({
-            "word": pa.array([w for (w, b), n in zip(words, sizes, strict=True) for _ in range(n)], pa.int32()),
-            "pos": pa.array([i for n in sizes for i in range(n)], pa.int64()),
-            "tok": pa.array([ids[x] for _, b in words for x in b], pa.int32()),
+            "id": np.arange(len(text)), "tok": self.bytes_ids[text],
+            "word": np.repeat(np.fromiter((w for w, _ in words), np.int32, len(words)), sizes),
         })
         done = []
         while left.num_rows:
-            db.register("tokens_in", left)
-            db.execute("CREATE OR REPLACE TEMP TABLE tokens AS SELECT * FROM tokens_in")
-            db.execute(f"CREATE OR REPLACE TEMP TABLE last AS {self._step(many)}")
-            done.append(db.sql(f"SELECT word, pos, tok FROM last WHERE step < {STEPS}").to_arrow_table())
-            left = db.sql(f"SELECT word, pos, tok FROM last WHERE step >= {STEPS}").to_arrow_table()
-            db.unregister("tokens_in")
-        return pa.concat_tables(done) if done else left
-
-    def code(self, words: list[str]) -> list[tuple[int, str, bytes]]:
-        """For each word: number of ids, ids joined by spaces, and the bytes that they decode to."""
+            db.register("tokens", left)
+            db.execute(f"CREATE OR REPLACE TEMP TABLE states AS {self._many() if many else self._one()} SELECT * FROM states")
+            # A word's last state; words at the last step that a query takes go on.
+            last = "SELECT s.word, s.id, s.tok FROM states s JOIN (SELECT word, max(step) AS step FROM states GROUP BY word) USING (word, step)"
+            done.append(db.sql(f"{last} WHERE step < {STEPS}").to_arrow_table())
+            left = db.sql(f"{last} WHERE step >= {STEPS} ORDER BY s.id").to_arrow_table()
+            db.unregister("tokens")
+        return pa.concat_tables(done) if done else left.select(["word", "id", "tok"])
+
+    def code(self, words: list[str]) -> list[tuple[str, str]]:
+        """For each word: its ids joined by spaces, and the text that they decode to."""
         raw = [(i, w.encode()) for i, w in enumerate(words)]
         short, long = [x for x in raw if len(x[1]) <= LONG], [x for x in raw if len(x[1]) > LONG]
-        found = self.pa.concat_tables([self._encoded(short, False), *([self._encoded([x], True) for x in long])])
+        found = pa.concat_tables([self._encoded(short, False), *(self._encoded([x], True) for x in long)])
         self.db.register("found", found)
-        out = self.db.execute("""
-            SELECT count(*), string_agg(f.tok::VARCHAR, ' ' ORDER BY f.pos), string_agg(hex(v.bytes), '' ORDER BY f.pos)
-            FROM found f JOIN vocab v ON f.tok = v.id GROUP BY f.word ORDER BY f.word""").fetchall()
+        out = self.db.sql("""
+            SELECT string_agg(f.tok::VARCHAR, ' ' ORDER BY f.id), string_agg(v.bytes, '' ORDER BY f.id)
+            FROM found f JOIN vocab v ON f.tok = v.id GROUP BY f.word ORDER BY f.word""").to_arrow_table()
         self.db.unregister("found")
-        return [(n, ids, bytes.fromhex(b)) for n, ids, b in out]
+        texts = [b if b.isascii() else b.encode("latin-1").decode("utf-8", "surrogateescape") for b in out.column(1).to_pylist()]
+        return list(zip(out.column(0).to_pylist(), texts, strict=True))
 
 
 def coder(path: str) -> WordCoder:
@@ -128,43 +140,35 @@ def coder(path: str) -> WordCoder:
     return WordCoder(ranks)
 
 
-def coded(batches: Iterator[pd.DataFrame], path: str, pattern: str) -> Iterator[pd.DataFrame]:
-    """(doc_id, text) to (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+def coded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, n_tokens, ids_sha256, decoded_sha256). Texts become Python objects a few at a time."""
     import regex
 
     if (path, pattern) not in _coders:
-        _coders[path, pattern] = coder(path), regex.compile(pattern), {}, {}, {}
-    engine, split, sizes, ids, decoded = _coders[path, pattern]
+        _coders[path, pattern] = coder(path), regex.compile(pattern), WordCache(CACHED_WORDS), {}
+    engine, split, cache, odd = _coders[path, pattern]
     for batch in batches:
-        rows, texts, at = [], batch["text"].tolist(), 0
-        while at < len(texts):
-            # As many texts as have a bounded number of characters, or one.
-            upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= CHARS_AT_ONCE):
-                size += len(texts[upto])
-                upto += 1
-            found = [split.findall(t) for t in texts[at:upto]]
-            missing = set().union(*found).difference(sizes)
-            if len(sizes) + len(missing) > CACHED_WORDS:
-                for c in (sizes, ids, decoded):
-                    c.clear()
-                missing = set().union(*found)
-            missing = list(missing)
+        rows = []
+        for texts in chunks(batch.column("text"), CHARS_AT_ONCE):
+            found = [split.findall(t) for t in texts]
+            missing = cache.missing(set().union(*found))
+            known = cache.known
             for k in range(0, len(missing), WORDS_AT_ONCE):
                 some = missing[k : k + WORDS_AT_ONCE]
-                for w, (n, i, b) in zip(some, engine.code(some), strict=True):
-                    sizes[w], ids[w], decoded[w] = n, i, b
-            for words in found:
-                rows.append((
-                    sum(map(sizes.__getitem__, words)),
-                    hashlib.sha256(" ".join(map(ids.__getitem__, words)).encode()).hexdigest(),
-                    hashlib.sha256(b"".join(map(decoded.__getitem__, words))).hexdigest(),
-                ))
-            at = upto
-        frame = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object))
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        yield frame
+                for w, (ids, text) in zip(some, engine.code(some), strict=True):
+                    known[w] = ids
+                    if text != w:
+                        odd[w] = text
+            for row in found:
+                joined = " ".join(map(known.__getitem__, row)).encode()
+                # A word's ids were decoded when it was encoded: to the word itself, or to what odd has of it.
+                text = "".join(row if not odd or all(w not in odd for w in row) else (odd.get(w, w) for w in row))
+                rows.append((joined.count(b" ") + 1 if row else 0, hashlib.sha256(joined).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogateescape")).hexdigest()))
+        counts, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
 
 
 def report(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -173,4 +177,4 @@ def report(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(lambda b: coded(b, path, pattern), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lambda b: coded(b, path, pattern), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +93,33 @@ def identity() -> list[Column]:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
         F.xxhash64(text_or_empty("text")).alias("_h"),
     ]
+
+
+def chunks(texts: pa.Array, chars: int = 2_000_000) -> Iterator[list[str]]:
+    """The strings of an Arrow column a few at a time: at most so many bytes, or one string."""
+    sizes = pc.binary_length(texts).to_pylist()
+    at = 0
+    while at < len(sizes):
+        upto, n = at, 0
+        while upto < len(sizes) and (upto == at or n + sizes[upto] <= chars):
+            n += sizes[upto]
+            upto += 1
+        yield texts.slice(at, upto - at).to_pylist()
+        at = upto
+
+
+class WordCache:
+    """What is known of words, for one worker. When it is full, words seen again since it last was stay, and those at hand; a lookup costs time only."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.known, self._again = most, {}, set()
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Words to be added to known before they are looked up there; call it for a bounded number of texts at a time."""
+        found = [w for w in words if w not in self.known]
+        self._again.update(words.difference(found))
+        if len(self.known) + len(found) > self.most:
+            keep = words | self._again if len(self._again) <= self.most // 2 else words
+            self.known = {w: self.known[w] for w in keep if w in self.known}
+            self._again = set()
+        return found
