@@ -23,7 +23,8 @@ def wilson(k: Column, n: Column, upper: bool, z: float = Z95) -> Column:
     centre = F.try_divide(p + F.try_divide(F.lit(z * z / 2), nd), den)
     inner = F.try_divide(p * (1.0 - p), nd) + F.try_divide(F.lit(z * z / 4), nd * nd)
     half = F.try_divide(F.lit(z) * F.sqrt(inner), den)
-    return F.least(F.lit(1.0), centre + half) if upper else F.greatest(F.lit(0.0), centre - half)
+    bound = F.least(F.lit(1.0), centre + half) if upper else F.greatest(F.lit(0.0), centre - half)
+    return F.when(n > 0, bound)
 
 
 def brier_binary(p: Column, y: Column) -> Column:
