@@ -32,7 +32,7 @@ from gaugeworks.llm.hamming_search import usable
 
 DEGREE = 32
 ROUNDS = 8
-OFFERS = 16
+OFFERS = 10
 SEEDS = 512
 BEAM = 160
 EXPANDED = 20
@@ -108,6 +108,14 @@ def compared(batches: Iterator[pa.RecordBatch], offers: int) -> Iterator[pa.Reco
             out.append((own[rows[good]], own[cols[good]], d[rows, cols][good]))
         if out:
             x, y, d = (np.concatenate(z) for z in zip(*out, strict=True))
+            # Of a batch's offers to a node only the nearest go on.
+            order = np.lexsort((y, d, x))
+            x, y, d = x[order], y[order], d[order]
+            new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+            x, y, d = x[new], y[new], d[new]
+            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            near_enough = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)])) < DEGREE // 2
+            x, y, d = x[near_enough], y[near_enough], d[near_enough]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(d, pa.float64())], ["node", "other", "d"])
 
 
