@@ -6,6 +6,7 @@ from gaugeworks.plans import (  # noqa: F401
     regression_queries,
     sampling_queries,
     scoring_queries,
+    study_queries,
     text_queries,
     vector_queries,
 )
