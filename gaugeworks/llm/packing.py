@@ -17,24 +17,32 @@ of their own. An empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import Scratch
+from gaugeworks.llm.common import Scratch, WordCache, chunks
 
 SIZE = 2048
 PART = 50_000
 TOKENIZER = "word_bpe_49k.json"
 #: Whitespace to the tokenizer; Python's own split also takes the separators 0x1C to 0x1F, which are symbols to it.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 900_000
+#: Symbols of which the first that is a single id parts words.
+MARKS = "\u00ac\u00a6\u00a7\u00b6\u00a4|"
+_SPACE = re.compile("[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Latin-1 characters by what they are to the tokenizer: . for comma and full stop, # for other symbols, a blank for the rest.
+_KINDS = bytes(ord("." if c in ".," else " " if c.isalnum() or c.isspace() and c not in ODD_SPACE else "#") for c in map(chr, range(256)))
 
-_tokenizers: dict[str, tuple] = {}
+_tokenizers: dict[str, Words] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -43,60 +51,82 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def word_ids(path: str):
-    """A function from a list of words to their ids as bytes (little-endian uint32); words are looked up once per worker.
+class Words:
+    """Looks words' ids up, as bytes (little-endian uint32), once per worker.
 
     The tokenizer's normaliser and word pattern never reach across white space, so a text's ids are its words' ids in turn.
-    The cache is emptied when full, which costs time but changes no id.
+    Unknown words are encoded many at a time, between words of one symbol that is one id and found in none of them.
     """
-    if path not in _tokenizers:
+
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.no_padding()
-        t.no_truncation()
-        t.encode_special_tokens = True
-        _tokenizers[path] = (t, {})
-    t, cache = _tokenizers[path]
-
-    def look_up(words: list[str]) -> list[bytes]:
-        missing = list(set(words).difference(cache))
-        if missing:
-            if len(cache) + len(missing) > CACHED_WORDS:
-                cache.clear()
-                missing = list(set(words))
-            for at in range(0, len(missing), 20_000):
-                some = missing[at : at + 20_000]
-                for w, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return list(map(cache.__getitem__, words))
-
-    return look_up
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        self.tokenizer.encode_special_tokens = True
+        self.cache = WordCache(CACHED_WORDS)
+        single = ((c, i) for c in MARKS if len(i := self.ids([c])[0]) == 1)
+        self.mark, (self.mark_id,) = next(single)
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        missing = self.cache.missing(words)
+        known = self.cache.known
+        for w in [w for w in missing if self.mark in w]:
+            known[w] = array("I", self.ids([w])[0]).tobytes()
+        plain = [w for w in missing if self.mark not in w]
+        for at in range(0, len(plain), 5000):
+            some = plain[at : at + 5000]
+            ids = np.array(self.ids([f" {self.mark} ".join(some)])[0], "<u4")
+            ends = (np.flatnonzero(ids == self.mark_id) * 4).tolist()
+            raw = ids.tobytes()
+            known.update(zip(some, [raw[a:b] for a, b in zip([0, *[x + 4 for x in ends]], [*ends, len(raw)], strict=True)], strict=True))
+        return known
 
 
 def words_of(text: str) -> list[str]:
-    if any(c in text for c in ODD_SPACE):
-        import regex
+    """Parts of a text that are tokenised each by itself, in order.
 
-        return [w for w in regex.split(r"\p{White_Space}+", text) if w]
-    return text.split()
-
-
-def pieces_of(batches: Iterator[pd.DataFrame], path: str, size: int, end_id: int) -> Iterator[pd.DataFrame]:
-    """(doc_id, _row, text) to one row per piece."""
-    look_up = word_ids(path)
-    end = np.array([end_id], dtype="<u4").tobytes()
+    In a text of Latin-1 characters, where case maps character by character and nothing is composed, lowering it first changes no id; and a comma or
+    full stop with no symbol beside it is a word of its own to the tokenizer. Both leave fewer distinct words.
+    """
+    if any(c in text for c in ODD_SPACE):
+        return [w for w in _SPACE.split(text) if w]
+    try:
+        kinds = text.encode("latin-1").translate(_KINDS)
+    except UnicodeEncodeError:
+        return text.split()
+    if not (b".." in kinds or b".#" in kinds or b"#." in kinds):
+        text = text.replace(",", " , ").replace(".", " . ")
+    return text.lower().split()
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, _row, text) to one row per piece. Texts become Python objects a few at a time."""
+    if path not in _tokenizers:
+        _tokenizers[path] = Words(path)
+    end = array("I", [end_id]).tobytes()
     for batch in batches:
         out = []
-        for doc_id, row, text in zip(batch["doc_id"], batch["_row"], batch["text"], strict=True):
-            ids = b"".join(look_up(words_of(text or ""))) + end
-            for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                cut = ids[at : at + 4 * size]
-                out.append((doc_id, row, piece, at // 4, len(cut) // 4, zlib.crc32(cut)))
-        frame = pd.DataFrame(out, columns=["doc_id", "_row", "piece", "start", "length", "ids_crc32"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        yield frame
+        for texts in chunks(batch.column("text"), 4_000_000):
+            split = [words_of(t) for t in texts]
+            known = _tokenizers[path].learn(set().union(*split))
+            for words in split:
+                ids = b"".join(map(known.__getitem__, words)) + end
+                cuts = [ids[at : at + 4 * size] for at in range(0, len(ids), 4 * size)]
+                out.append([(len(cut) // 4, zlib.crc32(cut)) for cut in cuts])
+        n = np.fromiter(map(len, out), np.int64, len(out))
+        length, crc = (np.fromiter((x[k] for cuts in out for x in cuts), np.int64, int(n.sum())) for k in (0, 1))
+        piece = np.arange(len(length)) - np.repeat(np.cumsum(n) - n, n)
+        rows = pa.array(np.repeat(np.arange(len(n)), n))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(rows), batch.column("_row").take(rows), pa.array(piece, pa.int32()), pa.array(piece * size), pa.array(length), pa.array(crc)],
+            ["doc_id", "_row", "piece", "start", "length", "ids_crc32"],
+        )
 
 
 def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,6 +208,6 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, size: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("uuid()").alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
     path = path or tokenizer_path()
     schema = "doc_id bigint, _row string, piece int, start bigint, length bigint, ids_crc32 bigint"
-    pieces = scratch.save(rows.mapInPandas(lambda b: pieces_of(b, path, size, end_id), schema).withColumn("key", F.concat_ws("/", "_row", "piece")), "pieces")
+    pieces = scratch.save(rows.mapInArrow(lambda b: pieces_of(b, path, size, end_id), schema).withColumn("key", F.concat_ws("/", "_row", "piece")), "pieces")
     placed = assign(spark, scratch, pieces, size, part)
     return pieces.join(placed, "key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
