@@ -155,7 +155,8 @@ class Graph:
 
     def kept(self, offers: DataFrame) -> DataFrame:
         """The DEGREE nearest of each node's offers(node, other, d, age); age counts the rounds since an edge was found."""
-        each = offers.groupBy("node", "other").agg(F.min("d").alias("d"), F.max("age").alias("age"))
+        # Dealt by node once, for both the aggregate and the window; a node gets a bounded number of offers from each batch.
+        each = offers.repartition(F.col("node")).groupBy("node", "other").agg(F.min("d").alias("d"), F.max("age").alias("age"))
         nearest = Window.partitionBy("node").orderBy("d", "other")
         return each.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= DEGREE).select("node", "other", "d", "age")
 
@@ -176,13 +177,11 @@ class Graph:
     def descend(self) -> DataFrame:
         graph = self.start()
         for turn in range(1, ROUNDS + 1):
-            # Forward neighbours all; of those that name a node, a bounded number, fresh ones first. A hub's list is cut in salted
-            # groups before it meets, and an edge stays fresh for two rounds, so that those left out get another turn.
+            # Forward neighbours all; of those that name a node, a bounded number, fresh ones first. Spark cuts a hub's list to that
+            # number in each task before it is shuffled. An edge stays fresh for two rounds, so that those left out get another turn.
             edges = graph.select("node", "other", (F.col("age") < 2).alias("fresh"))
             by_hash = [F.desc("fresh"), F.xxhash64("other", F.lit(turn))]
-            salted = Window.partitionBy("node", F.pmod(F.xxhash64("other", F.lit(turn)), F.lit(16))).orderBy(*by_hash)
             back = edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh")
-            back = back.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= DEGREE)
             back = back.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(*by_hash))).where(F.col("r") <= DEGREE).drop("r")
             near = edges.unionByName(back).groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
             near = near.join(self.halves.withColumnsRenamed({"node": "other"}), "other")
@@ -238,8 +237,10 @@ class Graph:
 
     def answers(self, beam: DataFrame, asked: DataFrame) -> DataFrame:
         found = beam.select("q", F.explode("beam.node").alias("node"))
-        pairs = asked.select("query_id", "embedding", "q").join(found, "q").join(self.ids, "node").select("query_id", "embedding", F.explode("ids").alias("id"))
-        pairs = pairs.where("id <> query_id").join(self.rows.select("id", F.col("embedding").alias("other")), "id")
+        pairs = asked.select("query_id", "embedding", "q").join(found, "q").join(self.ids, "node").select("query_id", "embedding", "node", F.explode("ids").alias("id"))
+        # Ids alone may repeat; of rows equal in id and vector one answers.
+        own = self.rows.select("id", "node", F.col("embedding").alias("other")).dropDuplicates(["id", "node"])
+        pairs = pairs.where("id <> query_id").distinct().join(own, ["id", "node"])
         score = exact(F.col("embedding"), F.col("other"))
         order = Window.partitionBy("query_id").orderBy("score", "id")
         ranked = pairs.select("query_id", "id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k)
