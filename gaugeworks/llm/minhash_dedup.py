@@ -6,11 +6,20 @@ positions that differ. By the pigeonhole principle signatures at a distance unde
 ``ERRORS`` = 1 differing positions: each chunk is indexed once for every position that may differ, which is left out of the key. So every pair of
 signatures at a distance of at most 23 of 72 meets in a bucket; a pair of Jaccard similarity 0.8 fails to meet with chance 3e-6.
 
-Buckets never list their pairs. First each member is held against the bucket's least member only, links found so are confirmed on the full sets, and
-connected components are formed: a group of thousands of near copies melts down to one component here. Then, in buckets that still hold
-several components, members of different components are paired: these are the pairs that could join what isn't joined yet. Pairs within a component
-need no look, as components are what is returned. A pair is compared in full if its signatures are at a distance of at most ``MAX_DISTANCE``
-(five standard deviations above the mean at similarity 0.8); a link needs 100 * intersection >= 80 * union of the full sets.
+Buckets never list their pairs. A bucket's hub is its member with most bucket mates over all keys (in a group of edited copies: what
+they were copied from). First each member is held against the hub only, links found so are confirmed on the full sets, and connected
+components are formed: a group of thousands of near copies mostly melts down to one component. Pairs within a component need no look, as
+components are what is returned. Members of different components that share a bucket are left, and of them
+
+* those near the same hub are compared by their differences from the group's core h, the elements that more than half of its sets hold. If x isn't
+  as similar to h as a link asks for, a link of x and y needs more than (|y - h| + |h - y| + (|h| - |y|) * q) / 2 common elements of the differences of x
+  and y, with q = (100 - percent) / (100 + percent). So of y's difference all but that many less one must hold one that x shares; an inverted index over
+  the rarest of them finds every link, and as edits differ from copy to copy, it meets few pairs, however large the group. Of any two components one
+  isn't the group's largest; what of that is near the core is little, and is paired with the whole group;
+* all others are paired within their bucket.
+
+A pair is confirmed on the full sets if its signatures are at a distance of at most ``MAX_DISTANCE`` (five standard deviations above
+the mean at similarity 0.8): a link needs 100 * intersection >= percent * union.
 
 Words are runs of anything but space and the characters 9 to 13, A-Z lowered. Shingles are compared by 64-bit hashes of their words.
 Fewer words than a shingle: the whole sequence is the one shingle. No words, no text: an empty set, linked with nothing. Rows equal in id and text are one document; a null id
@@ -25,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import NO_ID, Scratch, identity, text_or_empty
@@ -76,7 +85,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def signed(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """(_id, _h, text) to (_id, _h, n, c, c2, sig); c and c2 name the set."""
+    """(_id, _h, text) to (_id, _h, n, c, c2, sig); c and c2 name the set, sig holds the signature's bytes in longs."""
     for batch in batches:
         rows = []
         for text in batch["text"]:
@@ -84,9 +93,9 @@ def signed(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]
             if len(s):
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 c, c2 = (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63
-                rows.append((len(s), c, c2, signature(s).tobytes()))
+                rows.append((len(s), c, c2, signature(s).view("<i8")))
             else:
-                rows.append((0, 0, 0, b""))
+                rows.append((0, 0, 0, np.empty(0, np.int64)))
         frame = pd.DataFrame(rows, columns=["n", "c", "c2", "sig"])
         frame.insert(0, "_id", batch["_id"].to_numpy())
         frame.insert(1, "_h", batch["_h"].to_numpy())
@@ -98,7 +107,7 @@ def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), 5000):
             some = batch.iloc[at : at + 5000]
-            sigs = np.frombuffer(b"".join(some["sig"]), np.uint8).reshape(-1, CHUNKS, WIDTH).astype(np.int64)
+            sigs = np.stack(some["sig"].to_list()).astype("<i8").view(np.uint8).reshape(-1, CHUNKS, WIDTH).astype(np.int64)
             keys = np.empty((len(some), CHUNKS, WIDTH), np.int64)
             for out in range(WIDTH):
                 key = np.arange(CHUNKS, dtype=np.int64)[None, :] * WIDTH + out
@@ -109,10 +118,17 @@ def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": keys.reshape(-1), "c": np.repeat(some["c"].to_numpy(), CHUNKS * WIDTH)})
 
 
-def near(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Signature distance of two columns of signatures."""
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, POSITIONS) for s in (a, b))
-    return pd.Series((x != y).sum(axis=1).astype(np.int32))
+def distance(a: Column, b: Column) -> Column:
+    """Positions (bytes) in which two signatures differ."""
+
+    def differing(x: Column) -> Column:
+        # Each byte's bits are gathered in its lowest one.
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 4)).bitwiseAND(F.lit(0x0F0F0F0F0F0F0F0F))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x0303030303030303))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x0101010101010101)))
+
+    parts = [differing(a[i].bitwiseXOR(b[i])) for i in range(POSITIONS // 8)]
+    return sum(parts[1:], parts[0])
 
 
 def listed(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -130,62 +146,111 @@ class NearDuplicates:
         self.spark, self.shingle, self.percent = spark, shingle, percent
         self.scratch = Scratch(spark, "minhash")
         self.rows = docs.select(*identity(), text_or_empty("text").alias("text"))
-        signs = self.rows.mapInPandas(lambda b: signed(b, shingle), "_id bigint, _h bigint, n bigint, c bigint, c2 bigint, sig binary")
+        signs = self.rows.mapInPandas(lambda b: signed(b, shingle), "_id bigint, _h bigint, n bigint, c bigint, c2 bigint, sig array<bigint>")
         self.signs = self.scratch.save(signs, "signs")
         found = self.signs.where("n > 0").groupBy("c", "c2").agg(F.min(F.struct("_id", "_h", "n", "sig")).alias("r"))
         #: One row per distinct set, with the document that stands for it.
         self.classes = self.scratch.save(found.select("c", "r._id", "r._h", "r.n", "r.sig"), "classes")
 
-    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """pairs(a, b) of classes to those that are links."""
-        sigs = self.classes.select("c", "sig", "n")
-        both = (
-            pairs.join(sigs.withColumnsRenamed({"c": "a", "sig": "sa", "n": "na"}), "a")
-            .join(sigs.withColumnsRenamed({"c": "b", "sig": "sb", "n": "nb"}), "b")
-            # Sets whose sizes alone rule out the similarity aren't compared.
-            .where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
-        )
-        close = both.where(F.pandas_udf(near, "int")("sa", "sb") <= MAX_DISTANCE)
-        close = self.scratch.save(close.select("a", "b", "na", "nb"), f"{name}-close")
-        needed = close.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        needed = needed.join(self.classes.select("c", "_id", "_h"), "c")
+    def similar(self, x: str, y: str) -> Column:
+        """Whether sizes and signatures of the columns n and sig with these suffixes allow a link."""
+        sizes = 100 * F.least(f"n{x}", f"n{y}") >= self.percent * F.greatest(f"n{x}", f"n{y}")
+        return sizes & (distance(F.col(f"sig{x}"), F.col(f"sig{y}")) <= MAX_DISTANCE)
+
+    def seen(self, pairs: DataFrame) -> DataFrame:
+        """pairs(a, b, ...) with sizes, and only those whose signatures allow a link."""
+        known = self.classes.select("c", "n", "sig")
+        a, b = (known.withColumnsRenamed({"c": x, "n": f"n{x}", "sig": f"sig{x}"}) for x in "ab")
+        return pairs.join(a, "a").join(b, "b").where(self.similar("a", "b")).drop("siga", "sigb")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """pairs(a, b, na, nb) that are links by their full sets."""
+        a, b = (self.sets.withColumnsRenamed({"c": x, "set": f"set{x}"}) for x in "ab")
+        common = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("seta", "setb")))
+        return common.where(f"100 * common >= {self.percent} * (na + nb - common)").select("a", "b")
+
+    def buckets(self) -> None:
+        """live(key, c, degree, hub, hub_degree): members of all buckets of two or more, and sets of all their classes."""
+        keys = self.classes.select("c", "sig").mapInPandas(keyed, "key bigint, c bigint")
+        full = self.scratch.save(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "full")
+        live = self.scratch.save(keys.join(full, "key"), "members")
+        degrees = self.scratch.save(live.groupBy("c").agg(F.sum("size").alias("degree")), "degrees")
+        self.scratch.drop("full")
+        live = self.scratch.save(live.select("key", "c").join(degrees, "c"), "ranked")
+        hubs = self.scratch.save(live.groupBy("key").agg(F.max(F.struct("degree", "c")).alias("hub")), "hubs")
+        self.live = self.scratch.save(live.join(hubs, "key").select("key", "c", F.col("hub.c").alias("hub"), F.col("hub.degree").alias("hub_degree")), "live")
+        self.scratch.drop("members", "ranked", "hubs")
+        needed = degrees.select("c").join(self.classes.select("c", "_id", "_h"), "c")
         texts = self.rows.join(needed.hint("merge"), ["_id", "_h"]).dropDuplicates(["c"]).select("c", "text")
-        sets = self.scratch.save(texts.mapInPandas(lambda b, k=self.shingle: listed(b, k), "c bigint, set array<bigint>"), f"{name}-sets")
-        matched = (
-            close.join(sets.withColumnsRenamed({"c": "a", "set": "x"}), "a")
-            .join(sets.withColumnsRenamed({"c": "b", "set": "y"}), "b")
-            .withColumn("common", F.size(F.array_intersect("x", "y")))
-            .where(f"100 * common >= {self.percent} * (na + nb - common)")
-        )
-        links = self.scratch.save(matched.select("a", "b"), f"{name}-links")
-        self.scratch.drop(f"{name}-sets", f"{name}-close")
-        return links
+        self.sets = self.scratch.save(texts.mapInPandas(lambda b, k=self.shingle: listed(b, k), "c bigint, set array<bigint>"), "sets")
 
     def roots(self) -> DataFrame:
         """(c, root) of every class that is linked with another."""
-        keys = self.classes.select("c", "sig").mapInPandas(keyed, "key bigint, c bigint")
-        full = self.scratch.save(keys.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("last")).where("hub < last").select("key", "hub"), "full")
-        live = self.scratch.save(keys.join(full, "key"), "live")
-        stars = self.scratch.save(live.where("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
-        links = self.confirmed(stars, "star")
+        self.buckets()
+        stars = self.live.where("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b"), "hub_degree").distinct()
+        close = self.scratch.save(self.seen(stars), "close")
+        links = self.scratch.save(self.confirmed(close), "star-links")
         roots = components(self.scratch, links, "star-roots")
         # What is left: members of one bucket in different components.
-        rooted = live.select("key", "c").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-        rooted = self.scratch.save(rooted, "rooted")
-        mixed_keys = self.scratch.save(
-            rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "mixed"
-        )
-        left = self.scratch.save(rooted.join(mixed_keys, "key"), "left")
-        x, y = left.withColumnsRenamed({"c": "a", "root": "ra"}), left.withColumnsRenamed({"c": "b", "root": "rb"})
-        across = x.join(y, "key").where("ra < rb").select("a", "b").distinct()
-        seen = stars.unionByName(stars.select(F.col("a").alias("b"), F.col("b").alias("a")))
-        more = self.confirmed(across.join(seen, ["a", "b"], "left_anti"), "across")
+        rooted = self.scratch.save(self.live.select("key", "c").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "rooted")
+        apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        left = self.scratch.save(rooted.join(self.scratch.save(apart, "apart"), "key"), "left")
+        # A class's hub: of those that it is near to, the one of most bucket mates; a hub near to none is its own.
+        own = close.groupBy(F.col("a").alias("c")).agg(F.max(F.struct("hub_degree", "b"))["b"].alias("h"))
+        alone = close.select(F.col("b").alias("c")).distinct().join(own, "c", "left_anti").select("c", F.col("c").alias("h"))
+        self.hubs = self.scratch.save(own.unionByName(alone), "own-hubs")
+        pairs = self.across(left).unionByName(self.beside(left)).distinct()
+        both = close.select("a", "b").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        more = self.scratch.save(self.confirmed(self.seen(pairs.join(both, ["a", "b"], "left_anti"))), "more-links")
         return components(self.scratch, links.unionByName(more), "roots")
 
+    def across(self, left: DataFrame) -> DataFrame:
+        """Pairs (a, b) of one bucket and different components that aren't near the same hub."""
+        rows = left.join(self.hubs, "c", "left").join(self.classes.select("c", "n", "sig"), "c")
+        rows = self.scratch.save(rows, "sided")
+        a, b = (rows.withColumnsRenamed({c: f"{c}{x}" for c in rows.columns}) for x in "ab")
+        apart = (F.col("roota") < F.col("rootb")) & F.coalesce(F.col("ha") != F.col("hb"), F.lit(True))
+        return a.join(b, (F.col("keya") == F.col("keyb")) & apart & self.similar("a", "b")).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+
+    def beside(self, left: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components near the same hub that can be links, by an inverted index over differences from the group's core."""
+        less, more = 100 - self.percent, 100 + self.percent
+        members = left.select("c", "root").distinct().join(self.hubs, "c")
+        sizes = members.groupBy("h", "root").agg(F.count("*").alias("k"))
+        group = sizes.groupBy("h").agg(F.sum("k").alias("m"), F.max(F.struct("k", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1")
+        group = self.scratch.save(group.drop("roots"), "hub-groups")
+        members = members.join(group, "h").join(self.sets, "c").join(self.sets.withColumnsRenamed({"c": "h", "set": "hub_set"}), "h")
+        delta = F.concat(F.array_except("set", "hub_set"), F.array_except("hub_set", "set"))
+        members = self.scratch.save(members.select("h", "c", "root", "main", F.size("set").alias("n"), delta.alias("delta")), "deltas")
+        # The core: what more than half of a group's sets hold. The hub differs from it in what is in most differences.
+        odd = members.select("h", F.explode("delta").alias("e")).groupBy("h", "e").agg(F.count("*").alias("f")).join(group, "h").where("2 * f > m")
+        odd = odd.groupBy("h").agg(F.collect_list("e").alias("odd"))
+        core = group.select("h").join(odd, "h", "left").withColumn("odd", F.coalesce("odd", F.array().cast("array<bigint>")))
+        core = core.join(self.sets.withColumnsRenamed({"c": "h"}), "h").select(
+            "h", "odd", (F.size("set") + F.size("odd") - 2 * F.size(F.array_intersect("set", "odd"))).alias("nh")
+        )
+        members = members.join(self.scratch.save(core, "core"), "h").withColumn("delta", F.concat(F.array_except("delta", "odd"), F.array_except("odd", "delta"))).drop("odd")
+        d = F.size("delta")
+        least = F.floor((d * more + (F.col("nh") - F.col("n")) * less) / (2 * more)).cast("int") + 1
+        far = d * more > (F.col("n") + F.col("nh")) * less
+        members = self.scratch.save(members.withColumn("most", d - least + 1).withColumn("far", far), "cored")
+        parts = members.select("h", "c", "root", "main", "far", "most", F.explode("delta").alias("e"))
+        common = self.scratch.save(parts.groupBy("h", "e").agg(F.count("*").alias("f")), "common")
+        rank = F.row_number().over(Window.partitionBy("h", "c").orderBy("f", "e"))
+        rare = parts.join(common, ["h", "e"]).withColumn("r", rank).where("r <= most AND f > 1")
+        y = rare.select("h", F.col("c").alias("y"), F.col("root").alias("ry"), "e")
+        x = parts.where("far AND root <> main").select("h", F.col("c").alias("x"), F.col("root").alias("rx"), "e")
+        met = x.join(y, ["h", "e"]).where("rx <> ry").select("x", "y")
+        # Sets near the core that still are outside the main component are few; they are paired with the whole group.
+        near = members.where("NOT far AND root <> main").select("h", F.col("c").alias("x"), F.col("root").alias("rx"))
+        met = met.unionByName(near.join(members.select("h", F.col("c").alias("y"), F.col("root").alias("ry")), "h").where("rx <> ry").select("x", "y"))
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
     def groups(self) -> DataFrame:
         """(_id, _h, n, component, root) of every document; rows equal in id and text are listed each. root is null for empty sets."""
         roots = self.scratch.save(self.classes.select("c", "_id").join(self.roots(), "c", "left").withColumn("root", F.coalesce("root", "c")), "rooted-classes")
-        least = roots.groupBy("root").agg(F.min("_id").alias("component"))
+        # Written, so that the join back is one whose large partitions can be split.
+        least = self.scratch.save(roots.groupBy("root").agg(F.min("_id").alias("component")), "least")
         named = self.scratch.save(roots.join(least, "root").select("c", "component", "root"), "named")
         found = self.signs.select("_id", "_h", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(named.hint("merge"), "c", "left")
         return found.select("_id", "_h", "n", F.coalesce("component", "_id").alias("component"), "root")
