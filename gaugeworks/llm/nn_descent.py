@@ -6,8 +6,9 @@ all of them with one another, and offers each the best of the others; lists keep
 lists change, or after ``ROUNDS``. Lists of a node number at most ``2 * DEGREE``, so a node that a third of all name (a hub) costs no more than any other:
 of the nodes that name a hub, those with the least hash for the round are compared, others in later rounds.
 
-A query starts from the nearest of ``SEEDS`` nodes (a bounded sample, by hash) and walks greedily: it keeps its ``BEAM`` nearest nodes, expands those
-not yet expanded, and stops when none is left. Every step is a join of the walking queries with the graph, so
+For the search, each node keeps ``LONG`` random neighbours besides, so that no tight cluster is closed to the rest. A query starts from its own node, if its
+vector is in the graph, and from the nearest of a sample of nodes by hash: ``SEEDS``, or eight times the root of the number of nodes if that is more. It walks greedily:
+it keeps its nearest nodes, ``BEAM`` and more as the table doubles, expands those not yet expanded, and stops when none is left. Every step is a join of the walking queries with the graph, so
 graph, vectors and queries stay distributed.
 
 Equal vectors are one node, which lists its k + 1 least ids: no answer can need more, as equal vectors tie and ties go to the least id. The graph is built and walked over
@@ -19,6 +20,7 @@ share an id are candidates each. With at most ``SEEDS`` nodes the seeds are all
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,9 @@ OFFERS = 10
 SEEDS = 512
 BEAM = 160
 EXPANDED = 20
+LONG = 4
+#: Up to so many nodes a walk keeps BEAM; each doubling beyond adds as many.
+BEAM_NODES = 8192
 PROJECTIONS = 3
 
 
@@ -146,7 +151,8 @@ class Graph:
         )
         self.ids = scratch.save(least_ids(self.rows, k), "ids")
         self.n = self.nodes.count()
-        self.seeds = scratch.save(self.nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(SEEDS), "seeds")
+        self.seeds = scratch.save(self.nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(max(SEEDS, math.isqrt(64 * self.n))), "seeds")
+        self.beam = round(BEAM * (1 + max(0.0, math.log2(max(1, self.n) / BEAM_NODES))))
         if self.n > SEEDS:
             # Lists of neighbours carry vectors in half precision, scaled to at most 1; only the graph depends on it.
             top = self.rows.agg(F.max(F.array_max(F.transform("embedding", F.abs)))).first()[0]
@@ -163,18 +169,29 @@ class Graph:
     def with_vectors(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self.halves, "node").join(self.halves.withColumnsRenamed({"node": "other", "v": "w"}), "other").select("node", "other", "v", "w")
 
+    def strangers(self) -> DataFrame:
+        """(node, other): LONG random neighbours of each node, both ways: nodes by hash, each with the next in rings of about 1,000."""
+        pairs = None
+        for turn in range(LONG // 2):
+            ring = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(max(1, self.n // 1000))).alias("ring")
+            order = Window.partitionBy("ring").orderBy(F.xxhash64("node", F.lit(turn), F.lit(1)), "node")
+            found = self.nodes.select("node", ring).select("node", F.lead("node").over(order).alias("other")).where("other IS NOT NULL")
+            pairs = found if pairs is None else pairs.unionByName(found)
+        return pairs.union(pairs.select(F.col("other").alias("node"), F.col("node").alias("other")))
+
     def start(self) -> DataFrame:
-        """Neighbours along a few random projections, both ways."""
+        """Random neighbours and neighbours along a few random projections, both ways."""
         pairs = None
         for seed in range(PROJECTIONS):
             line = self.nodes.mapInPandas(lambda b, s=seed: projected(b, s), "node bigint, at double")
             found = line.repartitionByRange(F.col("at")).sortWithinPartitions("at", "node").select("node").mapInPandas(runs, "node bigint, other bigint")
             pairs = found if pairs is None else pairs.unionByName(found)
-        both = pairs.union(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"))).where("node <> other").distinct()
+        both = pairs.union(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"))).union(self.random).where("node <> other").distinct()
         offers = self.with_vectors(both).mapInPandas(measured, "node bigint, other bigint, d double")
         return self.scratch.save(self.kept(offers.withColumn("age", F.lit(0))), "graph0")
 
     def descend(self) -> DataFrame:
+        self.random = self.scratch.save(self.strangers(), "random")
         graph = self.start()
         for turn in range(1, ROUNDS + 1):
             # Forward neighbours all; of those that name a node, a bounded number, fresh ones first. Spark cuts a hub's list to that
@@ -197,6 +214,7 @@ class Graph:
         back = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "d")
         nearest = Window.partitionBy("node").orderBy("d", "other")
         both = graph.select("node", "other", "d").unionByName(back).distinct().withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= 2 * DEGREE)
+        both = both.select("node", "other").unionByName(self.random).distinct()
         return self.scratch.save(both.groupBy("node").agg(F.collect_list("other").alias("others")), "edges")
 
     def search(self, queries: DataFrame) -> DataFrame:
@@ -204,36 +222,41 @@ class Graph:
         asked = self.scratch.save(queries.withColumn("q", F.xxhash64("embedding")), "asked")
         points = asked.groupBy("q").agg(F.any_value("embedding").alias("embedding")).select(F.col("q").alias("node"), "embedding")
         points = self.scratch.save(points.mapInPandas(encoded, "node bigint, v binary").withColumnsRenamed({"node": "q"}), "points")
-        keep = max(BEAM, self.k + 1)
+        keep = max(self.beam, self.k + 1)
+        # As many steps for a wide beam as for one of BEAM.
+        step = EXPANDED * keep // BEAM
         beam = self.scratch.save(self.entries(points, keep), "beam0")
         turn = 0
         while self.edges is not None:
             turn += 1
-            front = beam.select("q", F.explode(F.slice(F.filter("beam", lambda x: ~x["seen"]), 1, EXPANDED)["node"]).alias("node"))
+            front = beam.select("q", F.explode(F.slice(F.filter("beam", lambda x: ~x["seen"]), 1, step)["node"]).alias("node"))
             reached = front.join(self.edges, "node").select("q", F.explode("others").alias("node")).distinct()
             lists = reached.join(self.nodes, "node").groupBy("q").agg(F.collect_list(F.struct("node", "v")).alias("found"))
             walk = points.join(beam, "q").join(lists, "q", "left")
-            beam = self.scratch.save(walk.mapInPandas(lambda b: walked(b, keep), BEAM_SCHEMA), f"beam{turn}")
+            beam = self.scratch.save(walk.mapInPandas(lambda b: walked(b, keep, step), BEAM_SCHEMA), f"beam{turn}")
             self.scratch.drop(f"beam{turn - 1}")
             if not beam.where(F.exists("beam", lambda x: ~x["seen"])).limit(1).count():
                 break
         return self.answers(beam, asked)
 
     def entries(self, points: DataFrame, keep: int) -> DataFrame:
-        """Each query with its nearest seeds; the seeds are at most SEEDS vectors, so each task gets them all."""
+        """Each query with its own node and its nearest seeds; the seeds are few (see __init__), so each task gets them all."""
         seeds = self.seeds.toPandas()
         names, v = seeds["node"].to_numpy(), matrix(seeds["v"]) if len(seeds) else np.zeros((0, max(1, self.width)), np.float32)
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 rows = []
-                for x in matrix(batch["v"]) if len(batch) else []:
+                for q, inside, x in zip(batch["q"], batch["inside"], matrix(batch["v"]) if len(batch) else [], strict=True):
                     d = ((v - x) ** 2).sum(axis=1)
-                    order = np.lexsort((names, d))[:keep]
-                    rows.append([{"node": int(names[i]), "d": float(d[i]), "seen": False} for i in order])
+                    found = [(float(d[i]), int(names[i])) for i in np.lexsort((names, d))[:keep]]
+                    if inside and (0.0, q) not in found:
+                        found = [(0.0, int(q)), *found][:keep]
+                    rows.append([{"node": node, "d": far, "seen": False} for far, node in found])
                 yield pd.DataFrame({"q": batch["q"].to_numpy(), "beam": rows})
 
-        return points.mapInPandas(near, BEAM_SCHEMA)
+        own = self.nodes.select(F.col("node").alias("q"), F.lit(True).alias("inside"))
+        return points.join(own, "q", "left").withColumn("inside", F.coalesce("inside", F.lit(False))).mapInPandas(near, BEAM_SCHEMA)
 
     def answers(self, beam: DataFrame, asked: DataFrame) -> DataFrame:
         found = beam.select("q", F.explode("beam.node").alias("node"))
@@ -250,13 +273,13 @@ class Graph:
 BEAM_SCHEMA = "q bigint, beam array<struct<node:bigint,d:double,seen:boolean>>"
 
 
-def walked(batches: Iterator[pd.DataFrame], keep: int) -> Iterator[pd.DataFrame]:
+def walked(batches: Iterator[pd.DataFrame], keep: int, step: int) -> Iterator[pd.DataFrame]:
     """(q, v, beam, found) to (q, beam): the nearest of both, with what was expanded marked."""
     for batch in batches:
         rows = []
         for v, beam, found in zip(batch["v"], batch["beam"], batch["found"], strict=True):
             beam = list(beam)
-            left = EXPANDED
+            left = step
             old = {}
             for x in beam:
                 seen = x["seen"]

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from gaugeworks.plans.catalog import QUERIES
@@ -53,3 +55,19 @@ def test_paired_bootstrap_takes_all_customers(spark, tables):
     assert same == {g: x[2] > -0.03 and x[3] < 0.03 for g, x in expected.items()}
     both = QUERIES["interval_intersection"](spark, sf).first()
     assert (both["low"], both["high"]) == pytest.approx((max(x[2] for x in expected.values()), min(x[3] for x in expected.values())), abs=2e-9)
+
+
+def test_descent_finds_neighbours_in_more_clusters_than_seeds(spark):
+    nn_descent = pytest.importorskip("gaugeworks.llm.nn_descent")
+    rng = np.random.default_rng(8)
+    clusters, each = 600, 36
+    v = np.repeat(100 * rng.standard_normal((clusters, 16)), each, axis=0) + rng.standard_normal((clusters * each, 16))
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}))
+    found = nn_descent.report(spark, table, every=240).collect()
+    hits = 0
+    queries = range(0, len(v), 240)
+    for q in queries:
+        d = ((v - v[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & {r["vec_id"] for r in found if r["query_id"] == q})
+    assert hits >= 0.97 * 10 * len(queries)
