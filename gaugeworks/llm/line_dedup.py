@@ -5,13 +5,13 @@ In each window of ``window`` consecutive line hashes the least is selected (the
 documents that share a run of ``window`` lines select the same fingerprint in it. Fingerprints found at one
 position only are dropped. A position whose fingerprint recurs is extended both ways, one window of lines at a
 time: each window that covers it is looked up by a 128-bit digest, and the windows found again, overlapping
-one another, make up the repeated run. Of each repeated window the earliest stays, by (doc_id, line); every line that a later one covers is
-deleted. So exactly those lines go that lie in a run of at least ``window`` lines occurring earlier, and a
+one another, make up the repeated run. Fewer lines than a window, down to one, are looked up likewise wherever they
+hold more than ``words`` words. Of each repeated window the earliest stays, by (doc_id, line); every line that a later one covers is
+deleted. So exactly those lines go that lie in a run of at least ``window`` lines, or of more than ``words`` words, occurring earlier, and a
 copy of each deleted line stays somewhere: the earliest.
 
 Documents equal in doc_id and text count as one and share its result; null ids rank last. Null text counts as
-empty and stays null. Blank lines are never compared or deleted. Documents of fewer lines than a window
-aren't changed. Extra columns are carried through; one named _gone is replaced.
+empty and stays null. Blank lines are never compared or deleted. Extra columns are carried through; one named _gone is replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import Scratch, identity, let, text_or_empty
 
 WINDOW = 3
+WORDS = 50
 
 
 def lines_of(text: Column) -> Column:
@@ -32,9 +33,14 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"[\x20\t\r\f\x0B]+", " ")))
 
 
+def words_of(line: Column) -> Column:
+    """Words of a normalised line that isn't blank."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def hashed_lines(text: Column) -> Column:
-    """array<struct<i:int,h:long>> of the lines that aren't blank."""
-    rows = F.transform(lines_of(text), lambda x, i: let(normal(x), lambda n: F.struct(i.alias("i"), F.when(n != "", F.xxhash64(n)).alias("h"))))
+    """array<struct<i:int,h:long,w:int>> of the lines that aren't blank, w their words."""
+    rows = F.transform(lines_of(text), lambda x, i: let(normal(x), lambda n: F.struct(i.alias("i"), F.when(n != "", F.xxhash64(n)).alias("h"), words_of(n).alias("w"))))
     return F.filter(rows, lambda r: r["h"].isNotNull())
 
 
@@ -57,7 +63,23 @@ def fingerprints(docs: DataFrame, window: int) -> DataFrame:
     )
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+def wordy(lines: DataFrame, window: int, words: int) -> DataFrame:
+    """Runs of fewer than ``window`` lines that hold more than ``words`` words, as rows of runs; the words are part of the digest."""
+
+    def of(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size("lines") - n), lambda s: let(F.slice("lines", s + 1, F.lit(n)), lambda x: F.struct(s.alias("s"), x.alias("x"))))
+        return F.when(F.size("lines") >= n, F.filter(each, lambda e: F.aggregate(e["x"], F.lit(0), lambda t, r: t + r["w"]) > words))
+
+    none = F.array().cast("array<struct<s:int,x:array<struct<i:int,h:bigint,w:int>>>>")
+    found = lines.select("_id", "_h", F.explode(F.concat(*[F.coalesce(of(n), none) for n in range(1, window)])).alias("e"))
+    marks = [F.transform("e.x", lambda r: r["h"]), F.transform("e.x", lambda r: r["w"])]
+    return found.select(
+        "_id", "_h", F.col("e.s").alias("s"), F.xxhash64(*marks, F.size("e.x")).alias("a"), F.xxhash64(F.lit(window), *marks).alias("b"),
+        F.transform("e.x", lambda r: r["i"]).alias("at"),
+    )
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, window: int, words: int, scratch: Scratch) -> DataFrame:
     """(_id, _h, gone): for each document with deleted lines, their indexes in the text."""
     lines = docs.select(*identity(), hashed_lines(text_or_empty("text")).alias("lines"))
     lines = scratch.save(lines.groupBy("_id", "_h").agg(F.any_value("lines").alias("lines")), "lines")
@@ -68,10 +90,10 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, window: int, scratch: S
     ).alias("k", "run"), "first")
     hashes = F.transform("run", lambda r: r["h"])
     runs = scratch.save(
-        starts.select(
+        wordy(lines, window, words).unionByName(starts.select(
             "_id", "_h", (F.col("first") + F.col("k")).alias("s"), F.xxhash64(hashes).alias("a"), F.xxhash64(hashes, F.lit(window)).alias("b"),
             F.transform("run", lambda r: r["i"]).alias("at"),
-        ).dropDuplicates(["_id", "_h", "s"]),
+        ).dropDuplicates(["_id", "_h", "s"])),
         "runs",
     )
     first = runs.groupBy("a", "b").agg(F.min(F.struct("_id", "_h", "s")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -80,10 +102,10 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, window: int, scratch: S
     return later.select("_id", "_h", F.explode("at").alias("i")).groupBy("_id", "_h").agg(F.sort_array(F.collect_set("i")).alias("gone"))
 
 
-def dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW, words: int = WORDS) -> DataFrame:
     """docs with text without its repeated runs, and _gone, the deleted lines' indexes; text is null where it was null."""
     scratch = Scratch(spark, "line-dedup")
-    gone = scratch.save(repeated_lines(spark, docs, window, scratch), "gone")
+    gone = scratch.save(repeated_lines(spark, docs, window, words, scratch), "gone")
     keyed = docs.withColumns({"__gw_id": identity()[0], "__gw_h": identity()[1]})
     gone = gone.select(F.col("_id").alias("__gw_id"), F.col("_h").alias("__gw_h"), F.col("gone").alias("__gw_gone"))
     found = keyed.join(gone.hint("merge"), ["__gw_id", "__gw_h"], "left").withColumn("_gone", F.coalesce("__gw_gone", F.array().cast("array<int>")))
@@ -100,7 +122,7 @@ def report(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFr
     )
 
 
-#: Brute force over texts themselves: every window of lines, not only those at fingerprints.
+#: Brute force over texts themselves: every window of lines, not only those at fingerprints. It has no windows by words.
 ORACLE = r"""
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents

@@ -71,3 +71,13 @@ def test_descent_finds_neighbours_in_more_clusters_than_seeds(spark):
         d[q] = np.inf
         hits += len(set(np.argsort(d)[:10].tolist()) & {r["vec_id"] for r in found if r["query_id"] == q})
     assert hits >= 0.97 * 10 * len(queries)
+
+
+def test_one_or_two_long_lines_are_deleted(spark):
+    line_dedup = pytest.importorskip("gaugeworks.llm.line_dedup")
+    one, half, other = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 51), ("b", 30), ("c", 30)))
+    short = " ".join(f"d{i}" for i in range(50))
+    texts = [f"{one}\n\n{half}\n{other}\n{short}", f"x\n{one.upper()}", f"{half}\n\n{other}", f"{half}\nx", short, one]
+    rows = line_dedup.dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == [texts[0], "x", "", f"{half}\nx", short, ""]
+    assert [r["_gone"] for r in rows] == [[], [1], [0, 2], [], [], [0]]
