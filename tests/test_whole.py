@@ -81,3 +81,10 @@ def test_one_or_two_long_lines_are_deleted(spark):
     rows = line_dedup.dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
     assert [r["text"] for r in rows] == [texts[0], "x", "", f"{half}\nx", short, ""]
     assert [r["_gone"] for r in rows] == [[], [1], [0, 2], [], [], [0]]
+
+
+def test_questions_of_all_sources(spark, tables):
+    sf = tables(documents=([(1, "a", "src1"), (2, "b", "src2")], "doc_id bigint, text string, source string"), labels=([(2, 1)], "doc_id bigint, quality int"))
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    found = {tuple(r) for r in QUERIES["field_strip_split"](spark, sf).collect()}
+    assert found == {(md5("1"), md5("a"), None), (md5("2"), md5("b"), None), (md5("2"), None, 1)}
