@@ -3,7 +3,10 @@ r"""Substring dedup: hashing of whole lines or paragraphs.
 A unit is a line (or what stands between other separators). Normalised (runs of white space become one space,
 trimmed, lower case) it is hashed to 128 bits; digests are grouped over the corpus; of each digest the occurrence
 that ranks first by (doc_id, unit) stays and every other one is removed, with its offsets in the original text.
-Units of fewer than ``min_words`` words are left alone.
+Units of fewer than ``min_words`` words are left alone, unless they make up a repeated passage: in a run of consecutive short units (blank ones
+aside), the shortest windows of more than ``RUN_WORDS`` words from each unit on and up to each unit are hashed likewise, and
+of each window the units of all occurrences but the first are removed. So a passage of more words than that in short lines goes whole.
+The kept unit named for such a one is its fellow in the window's first occurrence; another passage may have removed that in its turn, for one yet earlier.
 
 The text itself is never shuffled to find repeats: only digests and offsets are, and the earliest occurrence is a
 partial aggregate, so a line found in a third of all documents costs one row per task there. The join back
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import NO_ID, Scratch, identity, let, prefix_sums, text_or_empty
 
 MIN_WORDS = 20
+RUN_WORDS = 50
 
 
 def units_of(text: Column, separator: str) -> Column:
@@ -43,17 +47,62 @@ def units_of(text: Column, separator: str) -> Column:
     return let(F.split(text, separator, -1), placed)
 
 
+def windows_of(lines: Column, min_words: int) -> Column:
+    """array<struct<s:int,n:int>>: the shortest windows of over RUN_WORDS words of short units, from each unit on and up to each."""
+    far = RUN_WORDS + 1
+
+    def reach(near: Column) -> Column:
+        """How many units of ``near``, in order, it takes; null if a long one or the end comes first."""
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"))
+        step = lambda t, u: F.when(
+            (t["n"] >= 0) & (t["w"] <= RUN_WORDS),
+            F.struct(F.when(u["words"] < min_words, t["n"] + 1).otherwise(F.lit(-1)).alias("n"), (t["w"] + u["words"]).alias("w")),
+        ).otherwise(t)
+        return F.aggregate(near, start, step, lambda t: F.when((t["n"] > 0) & (t["w"] > RUN_WORDS), t["n"]))
+
+    on = F.transform(lines, lambda _, i: F.struct(i.alias("s"), reach(F.slice(lines, i + 1, F.lit(far))).alias("n")))
+    low = lambda i: F.greatest(F.lit(0), i + 1 - far)
+    upto = F.transform(lines, lambda _, i: let(reach(F.reverse(F.slice(lines, low(i) + 1, i + 1 - low(i)))), lambda n: F.struct((i + 1 - n).alias("s"), n.alias("n"))))
+    return F.array_distinct(F.filter(F.concat(on, upto), lambda x: x["n"].isNotNull()))
+
+
+def repeated_runs(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """Rows as those of repeats for short units in repeated passages, from docs(_id, _h, lines)."""
+    lines = docs.where(F.aggregate("lines", F.lit(0), lambda t, u: t + F.when(u["words"] < min_words, u["words"]).otherwise(0)) > RUN_WORDS)
+    lines = scratch.save(lines.dropDuplicates(["_id", "_h"]), "lines")
+    found = lines.select("_id", "_h", "lines", F.explode(windows_of(F.col("lines"), min_words)).alias("w")).withColumn("x", F.slice("lines", F.col("w.s") + 1, F.col("w.n")))
+    a, b = F.transform("x", lambda u: u["a"]), F.transform("x", lambda u: u["b"])
+    found = scratch.save(found.select("_id", "_h", "w.s", "w.n", F.xxhash64(a, "w.n").alias("a"), F.xxhash64(b, "w.n").alias("b")), "windows")
+    place = F.struct("_id", "_h", "s")
+    first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.any_value("n").alias("n")).where("first <> last")
+    first = first.select("a", "b", F.col("first._id").alias("_id"), F.col("first._h").alias("_h"), F.col("first.s").alias("keep_s"), "n")
+    units = lambda at: F.slice("lines", F.col(at) + 1, F.col("n"))
+    first = first.join(lines, ["_id", "_h"]).select(
+        "a", "b", F.col("_id").alias("keep_id"), F.col("_h").alias("keep_h"), "keep_s", F.transform(units("keep_s"), lambda u: u["unit"]).alias("keep")
+    )
+    first = scratch.save(first, "first_runs")
+    later = found.join(first, ["a", "b"]).where("struct(_id, _h, s) > struct(keep_id, keep_h, keep_s)").join(lines, ["_id", "_h"])
+    pairs = F.explode(F.arrays_zip(units("s").alias("u"), F.col("keep").alias("k")))
+    later = later.select("_id", "_h", "keep_id", "keep_h", pairs.alias("p")).select(
+        "_id", "_h", "p.u.unit", "p.u.start", "p.u.end", F.struct("keep_id", "keep_h", F.col("p.k").alias("keep_unit")).alias("keep")
+    )
+    return later.groupBy("_id", "_h", "unit", "start", "end").agg(F.min("keep").alias("keep")).select("_id", "_h", "unit", "start", "end", "keep.*")
+
+
 def repeats(spark: SparkSession, docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per removed unit: _id, _h, unit, start, end, and the kept one's keep_id, keep_h, keep_unit."""
     scratch = Scratch(spark, "substring-dedup")
-    units = docs.select(*identity(), F.explode(F.filter(units_of(text_or_empty("text"), separator), lambda u: u["words"] >= min_words)).alias("u"))
+    docs = docs.select(*identity(), F.filter(units_of(text_or_empty("text"), separator), lambda u: u["words"] > 0).alias("lines"))
+    docs = scratch.save(docs, "docs")
+    units = docs.select("_id", "_h", F.explode(F.filter("lines", lambda u: u["words"] >= min_words)).alias("u"))
     units = scratch.save(units.select("_id", "_h", "u.unit", "u.start", "u.end", "u.a", "u.b"), "units")
     first = units.groupBy("a", "b").agg(
         F.min(F.struct("_id", "_h", "unit")).alias("first"), F.max(F.struct("_id", "_h", "unit")).alias("last")
     ).where("first <> last")
     first = scratch.save(first.select("a", "b", F.col("first._id").alias("keep_id"), F.col("first._h").alias("keep_h"), F.col("first.unit").alias("keep_unit")), "first")
     later = units.join(first, ["a", "b"]).where("struct(_id, _h, unit) > struct(keep_id, keep_h, keep_unit)")
-    return later.select("_id", "_h", "unit", "start", "end", "keep_id", "keep_h", "keep_unit").dropDuplicates(["_id", "_h", "unit"])
+    later = later.select("_id", "_h", "unit", "start", "end", "keep_id", "keep_h", "keep_unit").dropDuplicates(["_id", "_h", "unit"])
+    return later.unionByName(repeated_runs(docs, min_words, scratch))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:

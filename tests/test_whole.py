@@ -88,3 +88,15 @@ def test_questions_of_all_sources(spark, tables):
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     found = {tuple(r) for r in QUERIES["field_strip_split"](spark, sf).collect()}
     assert found == {(md5("1"), md5("a"), None), (md5("2"), md5("b"), None), (md5("2"), None, 1)}
+
+
+def test_passages_in_short_lines_are_removed(spark):
+    substring_dedup = pytest.importorskip("gaugeworks.llm.substring_dedup")
+    lines = [" ".join(f"w{k}x{i}" for i in range(8)) for k in range(9)]
+    passage, part = "\n".join(lines), "\n".join(lines[:6])
+    texts = [f"begin\n{passage}\nend", f"other\n{passage.upper()}\n\nlast", f"{part}\nx"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    done = substring_dedup.dedup(spark, rows).orderBy("doc_id").collect()
+    assert [r["text"] for r in done] == [texts[0], "other\n\nlast", texts[2]]
+    found = sorted((r["doc_id"], r["unit"], r["keep_doc_id"], r["keep_unit"]) for r in substring_dedup.report(spark, rows).collect())
+    assert found == [(1, k, 0, k) for k in range(1, 10)]
