@@ -48,16 +48,16 @@ def holm(tests: DataFrame, name: str, p: str) -> DataFrame:
     return stepped.withColumn("p_holm", F.max("_s").over(running)).drop("_p", "_s")
 
 
-def sign_flip(blocks: DataFrame, by: list[str], diff: str, most: int = 12) -> DataFrame:
-    """Exact sign-flip p of the mean difference over at most ``most`` blocks: the share of all sign patterns as extreme."""
+def sign_flip(blocks: DataFrame, by: list[str], diff: str, most: int = 20) -> DataFrame:
+    """Exact sign-flip p of the mean difference over at most ``most`` blocks: the share of all sign patterns as extreme; null over more."""
     lists = blocks.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("block", F.col(diff).alias("d")))).alias("_l"))
     d = F.transform("_l", lambda x: x["d"])
-    lists = lists.select(*by, d.alias("_d")).where(F.size("_d").between(1, most))
+    lists = lists.select(*by, d.alias("_d")).where(F.size("_d") >= 1)
     n = F.size("_d")
-    masks = F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1)
+    masks = F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n, F.lit(most))) - 1)
     signed = lambda mask: F.aggregate(
         F.transform("_d", lambda x, i: F.when(F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 0, x).otherwise(-x)), F.lit(0.0), lambda s, x: s + x
     ) / n
     observed = F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / n
     extreme = F.size(F.filter(F.transform(masks, signed), lambda x: F.abs(x) >= F.abs(observed) - 1e-12))
-    return lists.select(*by, n.cast("long").alias("n_blocks"), observed.alias("mean_diff"), (extreme / F.size(masks)).alias("p"))
+    return lists.select(*by, n.cast("long").alias("n_blocks"), observed.alias("mean_diff"), F.when(n <= most, extreme / F.size(masks)).alias("p"))

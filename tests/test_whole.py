@@ -100,3 +100,10 @@ def test_passages_in_short_lines_are_removed(spark):
     assert [r["text"] for r in done] == [texts[0], "other\n\nlast", texts[2]]
     found = sorted((r["doc_id"], r["unit"], r["keep_doc_id"], r["keep_unit"]) for r in substring_dedup.report(spark, rows).collect())
     assert found == [(1, k, 0, k) for k in range(1, 10)]
+
+
+def test_sign_flip_of_many_blocks(spark):
+    inference = pytest.importorskip("gaugeworks.operators.inference")
+    rows = [("a", k, 1.0) for k in range(14)] + [("b", k, 1.0) for k in range(21)]
+    found = {r["g"]: (r["n_blocks"], r["mean_diff"], r["p"]) for r in inference.sign_flip(spark.createDataFrame(rows, "g string, block long, d double"), ["g"], "d").collect()}
+    assert found == {"a": (14, 1.0, 2 / 2**14), "b": (21, 1.0, None)}
