@@ -116,17 +116,20 @@ def option_block_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT b.item_id, count(d.doc_id)::bigint AS n_leaks, min(d.doc_id) AS first_doc FROM benchmark b LEFT JOIN documents d ON position(left(b.text, 60) IN d.text) > 0 GROUP BY b.item_id""",
 )
 def leakage_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark openings found word for word in documents.
+    """Benchmark items found word for word, as a whole, in documents; the SQL takes their first 60 characters.
 
-    Only documents that share a six-word window with an opening are searched, so the texts meet by an equi join; an opening that ends within a
-    word is cut to its whole words to get its windows.
+    Only documents that share an item's first five whole words are searched, so the texts meet by an equi join; words at an item's ends may go on in a
+    document and don't count as whole. Items of fewer whole words are searched in all documents.
     """
-    items = load(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("opening"))
-    whole = F.regexp_replace("opening", r"^\S*\s|\s\S*$", "")
-    keys = items.select("item_id", "opening", F.get(T.windows(whole, 5), F.lit(0)).alias("w"))
+    items = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    whole = F.regexp_replace("item", r"^\S*\s|\s\S*$", "")
+    keys = items.select("item_id", "item", F.get(T.windows(whole, 5), F.lit(0)).alias("w"))
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    met = docs.select("doc_id", F.explode(F.array_distinct(T.windows(F.col("text"), 5))).alias("w")).join(keys.where("w IS NOT NULL"), "w").select("item_id", "opening", "doc_id").distinct()
-    leaks = met.join(docs, "doc_id").where(F.contains(F.col("text"), F.col("opening"))).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    met = docs.select("doc_id", F.explode(F.array_distinct(T.windows(F.col("text"), 5))).alias("w")).join(keys.where("w IS NOT NULL"), "w").select("item_id", "item", "doc_id").distinct()
+    held = F.contains(F.col("text"), F.col("item"))
+    short = docs.join(F.broadcast(keys.where("w IS NULL").drop("w")), held).select("item_id", "doc_id")
+    found = met.join(docs, "doc_id").where(held).select("item_id", "doc_id").unionByName(short)
+    leaks = found.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     return items.select("item_id").join(leaks, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_leaks"), "first_doc")
 
 

@@ -107,3 +107,11 @@ def test_sign_flip_of_many_blocks(spark):
     rows = [("a", k, 1.0) for k in range(14)] + [("b", k, 1.0) for k in range(21)]
     found = {r["g"]: (r["n_blocks"], r["mean_diff"], r["p"]) for r in inference.sign_flip(spark.createDataFrame(rows, "g string, block long, d double"), ["g"], "d").collect()}
     assert found == {"a": (14, 1.0, 2 / 2**14), "b": (21, 1.0, None)}
+
+
+def test_leaks_are_whole_items(spark, tables):
+    long = " ".join(f"word{i}" for i in range(20))
+    docs = [(1, f"x{long}y"), (2, long[:80]), (3, "so few wordsy"), (4, "none")]
+    sf = tables(documents=(docs, "doc_id bigint, text string"), benchmark=([(1, long), (2, "few words"), (3, "not there")], "item_id bigint, text string"))
+    found = {tuple(r) for r in QUERIES["leakage_predicate"](spark, sf).collect()}
+    assert found == {(1, 1, 1), (2, 1, 3), (3, 0, None)}
