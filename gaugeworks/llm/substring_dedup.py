@@ -1,145 +1,187 @@
-r"""Substring dedup: hashing of whole lines or paragraphs.
-
-A unit is a line (or what stands between other separators). Normalised (runs of white space become one space,
-trimmed, lower case) it is hashed to 128 bits; digests are grouped over the corpus; of each digest the occurrence
-that ranks first by (doc_id, unit) stays and every other one is removed, with its offsets in the original text.
-Units of fewer than ``min_words`` words are left alone, unless they make up a repeated passage: in a run of consecutive short units (blank ones
-aside), the shortest windows of more than ``RUN_WORDS`` words from each unit on and up to each unit are hashed likewise, and
-of each window the units of all occurrences but the first are removed. So a passage of more words than that in short lines goes whole.
-The kept unit named for such a one is its fellow in the window's first occurrence; another passage may have removed that in its turn, for one yet earlier.
-
-The text itself is never shuffled to find repeats: only digests and offsets are, and the earliest occurrence is a
-partial aggregate, so a line found in a third of all documents costs one row per task there. The join back
-is a plain sort-merge join, whose large partitions Spark can split.
-
-Documents equal in doc_id and text count as one; null ids rank last. Null and empty texts have no units that count. Extra columns are
-carried through; one named removed is replaced.
+r"""Substring dedup: hashing of lines and of the paragraphs within them.
+
+Words are runs of anything but space and the characters 9 to 13, A-Z lowered, so units are the same whatever stands between their words. A line of up to
+``reach`` words is one unit. A longer one is cut where its words say so: of each ``reach`` consecutive pairs of neighbouring words the pair of least hash
+(the leftmost of equals) is chosen, and a unit ends between the two. So a passage is cut alike wherever it stands in a line, from its first ``reach`` words on
+to its last, and no unit is longer.
+
+Digests of units are grouped over the corpus; of each digest the occurrence that ranks first by (doc_id, place) is kept and every later one is repeated.
+Consecutive repeated units of a document make up a stretch, which is removed if it holds ``least`` words or more: the bound is on the stretch, never on a unit.
+Hence of a passage of ``least + 2 * reach`` words or more that occurred earlier, however it is placed in lines, at most ``reach`` words at either end stay; a whole
+repeated line of ``least`` words goes whole.
+
+Texts are never shuffled to find repeats, only digests and places: first digests alone are counted, in partial sums, so that a unit found
+in a third of all documents costs one row per task; then occurrences of repeated digests are picked by a sort-merge join, whose large partitions Spark can split.
+A digest has 64 bits; as no unit holds ``least`` words, a stretch takes two neighbouring matches.
+
+Documents equal in doc_id and text count as one; null ids rank last. Null and empty texts have no units. Extra columns are
+carried through; one named removed is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from gaugeworks.llm.common import NO_ID, Scratch, identity, let, prefix_sums, text_or_empty
-
-MIN_WORDS = 20
-RUN_WORDS = 50
-
-
-def units_of(text: Column, separator: str) -> Column:
-    """array<struct<unit:int,start:long,end:long,a:long,b:long,words:int>>; offsets in code points, ends exclusive."""
-
-    def placed(pieces: Column) -> Column:
-        sizes = F.transform(pieces, lambda p: (F.length(p) + len(separator)).cast("long"))
-        return F.transform(
-            F.arrays_zip(pieces.alias("p"), prefix_sums(sizes).alias("start")),
-            lambda x, i: let(
-                F.lower(F.trim(F.regexp_replace(x["p"], r"[\x20\t\r\f\x0B]+", " "))),
-                lambda n: F.struct(
-                    i.alias("unit"), x["start"].alias("start"), (x["start"] + F.length(x["p"])).alias("end"),
-                    F.xxhash64(n).alias("a"), F.xxhash64(n, F.lit(7)).alias("b"),
-                    (F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + (n != "").cast("int")).alias("words"),
-                ),
-            ),
-        )
-
-    return let(F.split(text, separator, -1), placed)
-
-
-def windows_of(lines: Column, min_words: int) -> Column:
-    """array<struct<s:int,n:int>>: the shortest windows of over RUN_WORDS words of short units, from each unit on and up to each."""
-    far = RUN_WORDS + 1
-
-    def reach(near: Column) -> Column:
-        """How many units of ``near``, in order, it takes; null if a long one or the end comes first."""
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"))
-        step = lambda t, u: F.when(
-            (t["n"] >= 0) & (t["w"] <= RUN_WORDS),
-            F.struct(F.when(u["words"] < min_words, t["n"] + 1).otherwise(F.lit(-1)).alias("n"), (t["w"] + u["words"]).alias("w")),
-        ).otherwise(t)
-        return F.aggregate(near, start, step, lambda t: F.when((t["n"] > 0) & (t["w"] > RUN_WORDS), t["n"]))
-
-    on = F.transform(lines, lambda _, i: F.struct(i.alias("s"), reach(F.slice(lines, i + 1, F.lit(far))).alias("n")))
-    low = lambda i: F.greatest(F.lit(0), i + 1 - far)
-    upto = F.transform(lines, lambda _, i: let(reach(F.reverse(F.slice(lines, low(i) + 1, i + 1 - low(i)))), lambda n: F.struct((i + 1 - n).alias("s"), n.alias("n"))))
-    return F.array_distinct(F.filter(F.concat(on, upto), lambda x: x["n"].isNotNull()))
-
-
-def repeated_runs(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
-    """Rows as those of repeats for short units in repeated passages, from docs(_id, _h, lines)."""
-    lines = docs.where(F.aggregate("lines", F.lit(0), lambda t, u: t + F.when(u["words"] < min_words, u["words"]).otherwise(0)) > RUN_WORDS)
-    lines = scratch.save(lines.dropDuplicates(["_id", "_h"]), "lines")
-    found = lines.select("_id", "_h", "lines", F.explode(windows_of(F.col("lines"), min_words)).alias("w")).withColumn("x", F.slice("lines", F.col("w.s") + 1, F.col("w.n")))
-    a, b = F.transform("x", lambda u: u["a"]), F.transform("x", lambda u: u["b"])
-    found = scratch.save(found.select("_id", "_h", "w.s", "w.n", F.xxhash64(a, "w.n").alias("a"), F.xxhash64(b, "w.n").alias("b")), "windows")
-    place = F.struct("_id", "_h", "s")
-    first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.any_value("n").alias("n")).where("first <> last")
-    first = first.select("a", "b", F.col("first._id").alias("_id"), F.col("first._h").alias("_h"), F.col("first.s").alias("keep_s"), "n")
-    units = lambda at: F.slice("lines", F.col(at) + 1, F.col("n"))
-    first = first.join(lines, ["_id", "_h"]).select(
-        "a", "b", F.col("_id").alias("keep_id"), F.col("_h").alias("keep_h"), "keep_s", F.transform(units("keep_s"), lambda u: u["unit"]).alias("keep")
-    )
-    first = scratch.save(first, "first_runs")
-    later = found.join(first, ["a", "b"]).where("struct(_id, _h, s) > struct(keep_id, keep_h, keep_s)").join(lines, ["_id", "_h"])
-    pairs = F.explode(F.arrays_zip(units("s").alias("u"), F.col("keep").alias("k")))
-    later = later.select("_id", "_h", "keep_id", "keep_h", pairs.alias("p")).select(
-        "_id", "_h", "p.u.unit", "p.u.start", "p.u.end", F.struct("keep_id", "keep_h", F.col("p.k").alias("keep_unit")).alias("keep")
-    )
-    return later.groupBy("_id", "_h", "unit", "start", "end").agg(F.min("keep").alias("keep")).select("_id", "_h", "unit", "start", "end", "keep.*")
+import hashlib
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def repeats(spark: SparkSession, docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per removed unit: _id, _h, unit, start, end, and the kept one's keep_id, keep_h, keep_unit."""
+from gaugeworks.llm.common import NO_ID, Scratch, WordCache, chunks, identity, text_or_empty
+
+REACH = 12
+LEAST = 20
+CACHED_WORDS = 400_000
+CHARS_AT_ONCE = 4_000_000
+#: Multiplies the hash of a pair's first word.
+FACTOR = 1540483477
+
+_WORD = re.compile("[^\x20\x09-\x0d]+")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+UNITS = "array<struct<at:int,n:int,start:int,end:int,a:bigint>>"
+
+_words = WordCache(CACHED_WORDS)
+
+
+def cut_after(marks: np.ndarray, line: np.ndarray, reach: int) -> np.ndarray:
+    """Whether a unit ends after each word, from the words' 32-bit hashes and lines."""
+    n = len(marks)
+    ends = np.ones(n, bool)
+    ends[:-1] = line[1:] != line[:-1]
+    if n > reach:
+        pair = (marks[:-1] * np.uint64(FACTOR)) % np.uint64(1 << 32) ^ marks[1:]
+        first = np.flatnonzero(line[:-reach] == line[reach:])  # windows of pairs that lie in one line
+        ends[first + np.lib.stride_tricks.sliding_window_view(pair, reach)[first].argmin(axis=1)] = True
+    return ends
+
+
+def units(text: str, known: dict[str, bytes], reach: int) -> tuple[np.ndarray, ...]:
+    """Per unit: its first word's number, its words, its first and last character (exclusive), and its digest."""
+    words = words_of(text)
+    if not words:
+        return tuple(np.empty(0, t) for t in (np.int32, np.int32, np.int32, np.int32, np.int64))
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    blank = np.empty(len(chars) + 2, bool)
+    blank[0] = blank[-1] = True
+    blank[1:-1] = (chars == 32) | ((chars >= 9) & (chars <= 13))
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edges[::2], edges[1::2]
+    line = np.searchsorted(np.flatnonzero(chars == 10), start)
+    digests = np.frombuffer(b"".join(map(known.__getitem__, words)), np.dtype([("mark", ">u4"), ("rest", "V4"), ("x", "<u8")]))
+    last = np.flatnonzero(cut_after(digests["mark"].astype(np.uint64), line, reach))
+    at = np.r_[0, last[:-1] + 1]
+    n = last - at + 1
+    # A polynomial of the words' hashes, by place in the unit.
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(int(n.max()) - 1, _BASE)], dtype=np.uint64)
+    a = np.add.reduceat(digests["x"] * powers[np.arange(len(words)) - np.repeat(at, n)], at) + n.astype(np.uint64)
+    a = (a ^ (a >> np.uint64(32))) * _MIX
+    return at.astype(np.int32), n.astype(np.int32), start[at].astype(np.int32), end[last].astype(np.int32), (a ^ (a >> np.uint64(32))).view(np.int64)
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+
+
+def listed(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """(_id, _h, text) to (_id, _h, units). Texts become Python objects a few at a time."""
+    for batch in batches:
+        out = []
+        for texts in chunks(batch.column("text"), CHARS_AT_ONCE):
+            missing = _words.missing(set().union(*map(words_of, texts)))
+            _words.known.update((w, hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()) for w in missing)
+            out += [units(t, _words.known, reach) for t in texts]
+        sizes = np.fromiter((len(x[0]) for x in out), np.int64, len(out))
+        flat = [np.concatenate([x[k] for x in out]) if out else np.empty(0, t) for k, t in enumerate((np.int32,) * 4 + (np.int64,))]
+        made = pa.StructArray.from_arrays([pa.array(x) for x in flat], ["at", "n", "start", "end", "a"])
+        offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), pa.ListArray.from_arrays(offsets, made)], ["_id", "_h", "units"])
+
+
+def repeats(spark: SparkSession, docs: DataFrame, reach: int = REACH, least: int = LEAST) -> DataFrame:
+    """One row per removed stretch: _id, _h, start, end, n_words, and where its first unit was kept: keep_id, keep_start."""
+    if reach >= least:
+        raise ValueError("a unit must be shorter than the least stretch")
     scratch = Scratch(spark, "substring-dedup")
-    docs = docs.select(*identity(), F.filter(units_of(text_or_empty("text"), separator), lambda u: u["words"] > 0).alias("lines"))
-    docs = scratch.save(docs, "docs")
-    units = docs.select("_id", "_h", F.explode(F.filter("lines", lambda u: u["words"] >= min_words)).alias("u"))
-    units = scratch.save(units.select("_id", "_h", "u.unit", "u.start", "u.end", "u.a", "u.b"), "units")
-    first = units.groupBy("a", "b").agg(
-        F.min(F.struct("_id", "_h", "unit")).alias("first"), F.max(F.struct("_id", "_h", "unit")).alias("last")
-    ).where("first <> last")
-    first = scratch.save(first.select("a", "b", F.col("first._id").alias("keep_id"), F.col("first._h").alias("keep_h"), F.col("first.unit").alias("keep_unit")), "first")
-    later = units.join(first, ["a", "b"]).where("struct(_id, _h, unit) > struct(keep_id, keep_h, keep_unit)")
-    later = later.select("_id", "_h", "unit", "start", "end", "keep_id", "keep_h", "keep_unit").dropDuplicates(["_id", "_h", "unit"])
-    return later.unionByName(repeated_runs(docs, min_words, scratch))
-
-
-def dedup(spark: SparkSession, docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text without its repeated units, and removed: the units' array of (start, end) in the original text."""
-    found = repeats(spark, docs, separator, min_words).groupBy("_id", "_h").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "unit"))).alias("__gw_found")
-    ).withColumnsRenamed({"_id": "__gw_id", "_h": "__gw_h"})
-    keyed = docs.withColumns({"__gw_id": identity()[0], "__gw_h": identity()[1]}).join(found, ["__gw_id", "__gw_h"], "left")
-    kept = F.array_join(F.filter(F.split("text", separator, -1), lambda _, i: ~F.array_contains(F.col("__gw_found.unit"), i)), separator)
-    spans = F.transform("__gw_found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    rows = docs.select(*identity(), text_or_empty("text").alias("text"))
+    listing = rows.mapInArrow(lambda b: listed(b, reach), f"_id bigint, _h bigint, units {UNITS}")
+    found = scratch.save(listing, "units").select("_id", "_h", F.explode("units").alias("u")).select("_id", "_h", "u.*")
+    shared = scratch.save(found.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "shared")
+    # Rows equal in id and text are one document, whose units are later ones of nothing.
+    common = scratch.save(found.join(shared.hint("merge"), "a", "left_semi"), "common")
+    first = common.groupBy("a").agg(F.min(F.struct("_id", "_h", "at", "start")).alias("first"), F.max(F.struct("_id", "_h", "at", "start")).alias("last"))
+    first = scratch.save(first.where("first <> last").select("a", "first"), "first")
+    later = common.join(first.hint("merge"), "a").where("struct(_id, _h, at) > struct(first._id, first._h, first.at)")
+    later = later.select("_id", "_h", "at", "n", "start", "end", F.col("first._id").alias("keep_id"), F.col("first.start").alias("keep_start"))
+    # A document's units meet in one group, which is no larger than its text.
+    order = Window.partitionBy("_id", "_h").orderBy("at")
+    begins = F.coalesce((F.lag(F.col("at") + F.col("n")).over(order) != F.col("at")).cast("int"), F.lit(1))
+    marked = later.dropDuplicates(["_id", "_h", "at"]).withColumn("begins", begins).withColumn("stretch", F.sum("begins").over(order))
+    whole = marked.groupBy("_id", "_h", "stretch").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.min(F.struct("at", "keep_id", "keep_start")).alias("keep")
+    )
+    return whole.where(F.col("n_words") >= least).select("_id", "_h", "start", "end", "n_words", "keep.keep_id", "keep.keep_start")
+
+
+def dedup(spark: SparkSession, docs: DataFrame, reach: int = REACH, least: int = LEAST) -> DataFrame:
+    """docs with text without its repeated stretches, and removed: the stretches' array of (start, end) in the original text."""
+    scratch = Scratch(spark, "substring-dedup-texts")
+    found = repeats(spark, docs, reach, least).groupBy("_id", "_h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__gw_found"))
+    found = scratch.save(found.withColumnsRenamed({"_id": "__gw_id", "_h": "__gw_h"}), "found")
+    keyed = docs.withColumns({"__gw_id": identity()[0], "__gw_h": identity()[1]}).join(found.hint("merge"), ["__gw_id", "__gw_h"], "left")
+    begin = F.concat(F.array(F.lit(0)), F.col("__gw_found.end"))
+    until = F.concat(F.col("__gw_found.start"), F.array(F.length("text")))
+    kept = F.array_join(F.zip_with(begin, until, lambda x, y: F.substring(F.col("text"), x + 1, y - x)), "")
     return keyed.withColumns({
         "text": F.when(F.col("__gw_found").isNotNull(), kept).otherwise(F.col("text")),
-        "removed": F.coalesce(spans, F.array().cast("array<struct<start:bigint,end:bigint>>")),
+        "removed": F.coalesce("__gw_found", F.array().cast("array<struct<start:int,end:int>>")),
     }).drop("__gw_id", "__gw_h", "__gw_found")
 
 
-def report(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per removed unit: doc_id, unit, start, end, keep_doc_id, keep_unit."""
+def report(spark: SparkSession, docs: DataFrame, reach: int = REACH, least: int = LEAST) -> DataFrame:
+    """One row per removed stretch: doc_id, start, end, n_words, keep_doc_id, keep_start; offsets in code points, ends exclusive."""
     given = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return repeats(spark, docs.select("doc_id", "text"), min_words=min_words).select(
-        given("_id").alias("doc_id"), "unit", "start", "end", given("keep_id").alias("keep_doc_id"), "keep_unit",
+    return repeats(spark, docs.select("doc_id", "text"), reach, least).select(
+        given("_id").alias("doc_id"), "start", "end", "n_words", given("keep_id").alias("keep_doc_id"), "keep_start",
     )
 
 
+#: The same on the texts of units themselves, not on their digests.
 ORACLE = rf"""
-WITH split AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
-), line AS (
-  SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) - 1 AS unit FROM split
-), norm AS (
-  SELECT doc_id, unit, lower(trim(regexp_replace(raw, '[\x20\t\r\f\x0B]+', ' ', 'g'))) AS t, length(raw) AS n,
-         sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(raw) - 1 AS start
-  FROM line
+WITH line AS (
+  SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS l FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), placed AS (
+  SELECT *, (sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY l) - length(raw) - 1)::int AS base FROM line
+), parts AS (
+  -- The words of a line, each after the white space before it.
+  SELECT doc_id, l, base, regexp_extract_all(raw, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS ps FROM placed
+), word AS (
+  SELECT doc_id, l, base, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM parts
+), spelt AS (
+  SELECT *, translate(ltrim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM word
+), found AS (
+  SELECT doc_id, l, k, w, row_number() OVER (PARTITION BY doc_id ORDER BY l, k) - 1 AS i,
+         (base + sum(length(p)) OVER (PARTITION BY doc_id, l ORDER BY k))::int AS stop, length(w) AS size, ('0x' || left(md5(w), 8))::bigint AS m
+  FROM spelt
+), pair AS (
+  SELECT doc_id, l, i, xor(m * {FACTOR} % 4294967296, lead(m) OVER (PARTITION BY doc_id, l ORDER BY k)) AS h FROM found
+), least AS (
+  SELECT doc_id, min(h * 16777216 + i) OVER w AS best, count(h) OVER w AS n FROM pair WHERE h IS NOT NULL
+  WINDOW w AS (PARTITION BY doc_id, l ORDER BY i ROWS BETWEEN CURRENT ROW AND {REACH - 1} FOLLOWING)
+), cut AS (
+  SELECT DISTINCT doc_id, best % 16777216 + 1 AS i FROM least WHERE n = {REACH}
+), numbered AS (
+  SELECT f.*, sum((k = 1 OR c.i IS NOT NULL)::int) OVER (PARTITION BY f.doc_id ORDER BY f.i) AS unit FROM found f LEFT JOIN cut c ON f.doc_id = c.doc_id AND f.i = c.i
+), units AS (
+  SELECT doc_id, min(i) AS i, count(*) AS n, min(stop - size) AS start, max(stop) AS stop, string_agg(w, ' ' ORDER BY i) AS t FROM numbered GROUP BY doc_id, unit
 ), ranked AS (
-  SELECT *, row_number() OVER w AS r, first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit
-  FROM norm WHERE length(t) - length(replace(t, ' ', '')) + (t <> '')::int >= {MIN_WORDS}
-  WINDOW w AS (PARTITION BY t ORDER BY doc_id, unit)
+  SELECT *, row_number() OVER w AS r, first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start FROM units
+  WINDOW w AS (PARTITION BY t ORDER BY doc_id, i)
+), later AS (
+  SELECT *, i + n - sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS stretch FROM ranked WHERE r > 1
 )
-SELECT doc_id, unit::int AS unit, start::bigint AS start, (start + n)::bigint AS "end", keep_doc_id, keep_unit::int AS keep_unit
-FROM ranked WHERE r > 1"""
+SELECT doc_id, min(start)::int AS start, max(stop)::int AS "end", sum(n)::bigint AS n_words, arg_min(keep_doc_id, i) AS keep_doc_id, arg_min(keep_start, i)::int AS keep_start
+FROM later GROUP BY doc_id, stretch HAVING sum(n) >= {LEAST}"""
