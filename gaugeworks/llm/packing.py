@@ -65,7 +65,10 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.tokenizer.encode_special_tokens = True
+        #: A special token's string stands for the token wherever a text has it, in just that case.
+        self.special = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
+        if any(c.isspace() for t in self.special for c in t):
+            raise ValueError("special tokens with white space can't be told by words")
         self.cache = WordCache(CACHED_WORDS)
         single = ((c, i) for c in MARKS if len(i := self.ids([c])[0]) == 1)
         self.mark, (self.mark_id,) = next(single)
@@ -88,8 +91,8 @@ class Words:
         return known
 
 
-def words_of(text: str) -> list[str]:
-    """Parts of a text that are tokenised each by itself, in order.
+def words_of(text: str, special: tuple[str, ...] = ()) -> list[str]:
+    """Parts of a text that are tokenised each by itself, in order. A text that may hold special tokens' strings (lowered here) keeps its case.
 
     In a text of Latin-1 characters, where case maps character by character and nothing is composed, lowering it first changes no id; and a comma or
     full stop with no symbol beside it is a word of its own to the tokenizer. Both leave fewer distinct words.
@@ -100,6 +103,9 @@ def words_of(text: str) -> list[str]:
         kinds = text.encode("latin-1").translate(_KINDS)
     except UnicodeEncodeError:
         return text.split()
+    low = text.lower()
+    if any(t in low for t in special):
+        return text.split()
     if not (b".." in kinds or b".#" in kinds or b"#." in kinds):
         text = text.replace(",", " , ").replace(".", " . ")
     return text.lower().split()
@@ -113,7 +119,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: i
     for batch in batches:
         out = []
         for texts in chunks(batch.column("text"), 4_000_000):
-            split = [words_of(t) for t in texts]
+            split = [words_of(t, _tokenizers[path].special) for t in texts]
             known = _tokenizers[path].learn(set().union(*split))
             for words in split:
                 ids = b"".join(map(known.__getitem__, words)) + end
@@ -204,10 +210,10 @@ def assign(spark: SparkSession, scratch: Scratch, pieces: DataFrame, size: int,
 def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = 0, part: int = PART) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     scratch = Scratch(spark, "packing")
-    # Rows of one id and text get numbers among themselves only if there are such; a row's number is part of its piece's key.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("uuid()").alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
+    # A row's number, the same in every run over the same files, is part of its piece's key: rows may be equal.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
     path = path or tokenizer_path()
-    schema = "doc_id bigint, _row string, piece int, start bigint, length bigint, ids_crc32 bigint"
+    schema = "doc_id bigint, _row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     pieces = scratch.save(rows.mapInArrow(lambda b: pieces_of(b, path, size, end_id), schema).withColumn("key", F.concat_ws("/", "_row", "piece")), "pieces")
     placed = assign(spark, scratch, pieces, size, part)
     return pieces.join(placed, "key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

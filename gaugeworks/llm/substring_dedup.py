@@ -1,8 +1,8 @@
 r"""Substring dedup: hashing of lines and of the paragraphs within them.
 
 Words are runs of anything but space and the characters 9 to 13, A-Z lowered, so units are the same whatever stands between their words. A line of up to
-``reach`` words is one unit. A longer one is cut where its words say so: of each ``reach`` consecutive pairs of neighbouring words the pair of least hash
-(the leftmost of equals) is chosen, and a unit ends between the two. So a passage is cut alike wherever it stands in a line, from its first ``reach`` words on
+``reach`` words is one unit. A longer one is cut where its words say so: of each ``reach`` consecutive pairs of neighbouring words the pair of least mark
+(made of the words' lengths, first and last characters; the leftmost of equals) is chosen, and a unit ends between the two. So a passage is cut alike wherever it stands in a line, from its first ``reach`` words on
 to its last, and no unit is longer.
 
 Digests of units are grouped over the corpus; of each digest the occurrence that ranks first by (doc_id, place) is kept and every later one is repeated.
@@ -20,8 +20,6 @@ carried through; one named removed is replaced. An empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,75 +27,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import NO_ID, Scratch, WordCache, chunks, identity, text_or_empty
+from gaugeworks.llm.common import NO_ID, Scratch, chunks, identity, text_or_empty
 
-REACH = 12
+REACH = 8
 LEAST = 20
-CACHED_WORDS = 400_000
-CHARS_AT_ONCE = 4_000_000
-#: Multiplies the hash of a pair's first word.
-FACTOR = 1540483477
+CHARS_AT_ONCE = 2_000_000
+#: Multipliers of what marks a word: its first and last character, its length, and the word's place in a pair.
+FIRST, LAST, SIZE, PAIR = 1540483477, 1812433253, 1103515245, 1664525525
 
-_WORD = re.compile("[^\x20\x09-\x0d]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_LOW32 = np.uint64(0xFFFFFFFF)
 
 UNITS = "array<struct<at:int,n:int,start:int,end:int,a:bigint>>"
 
-_words = WordCache(CACHED_WORDS)
-
 
 def cut_after(marks: np.ndarray, line: np.ndarray, reach: int) -> np.ndarray:
-    """Whether a unit ends after each word, from the words' 32-bit hashes and lines."""
+    """Whether a unit ends after each word, from the words' marks and lines."""
     n = len(marks)
     ends = np.ones(n, bool)
     ends[:-1] = line[1:] != line[:-1]
     if n > reach:
-        pair = (marks[:-1] * np.uint64(FACTOR)) % np.uint64(1 << 32) ^ marks[1:]
+        pair = (marks[:-1] * np.uint64(PAIR) & _LOW32) ^ marks[1:]
         first = np.flatnonzero(line[:-reach] == line[reach:])  # windows of pairs that lie in one line
         ends[first + np.lib.stride_tricks.sliding_window_view(pair, reach)[first].argmin(axis=1)] = True
     return ends
 
 
-def units(text: str, known: dict[str, bytes], reach: int) -> tuple[np.ndarray, ...]:
-    """Per unit: its first word's number, its words, its first and last character (exclusive), and its digest."""
-    words = words_of(text)
-    if not words:
-        return tuple(np.empty(0, t) for t in (np.int32, np.int32, np.int32, np.int32, np.int64))
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    blank = np.empty(len(chars) + 2, bool)
-    blank[0] = blank[-1] = True
+def place_in(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... within each of the groups of these sizes."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def polynomial(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each group of values, by place in the group."""
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(int(sizes.max()) - 1, _BASE)], dtype=np.uint64)
+    h = np.add.reduceat((values + np.uint64(1)) * powers[place_in(sizes)], np.cumsum(sizes) - sizes) + sizes.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def units(texts: list[str], reach: int) -> tuple[np.ndarray, ...]:
+    """Per unit of all texts: its text's number, its first word's number there, its words, its first and last character (exclusive), its digest."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    # Texts stand on lines of their own, so nothing reaches from one to the next.
+    chars = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    blank = np.ones(len(chars) + 2, bool)
     blank[1:-1] = (chars == 32) | ((chars >= 9) & (chars <= 13))
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     start, end = edges[::2], edges[1::2]
+    if not len(start):
+        return tuple(np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int32, np.int32, np.int64))
     line = np.searchsorted(np.flatnonzero(chars == 10), start)
-    digests = np.frombuffer(b"".join(map(known.__getitem__, words)), np.dtype([("mark", ">u4"), ("rest", "V4"), ("x", "<u8")]))
-    last = np.flatnonzero(cut_after(digests["mark"].astype(np.uint64), line, reach))
+    letters = chars[~blank[1:-1]].astype(np.uint64)
+    letters[(letters >= 65) & (letters <= 90)] += np.uint64(32)
+    n = end - start
+    first = np.cumsum(n) - n
+    marks = letters[first] * np.uint64(FIRST) + letters[first + n - 1] * np.uint64(LAST) + n.astype(np.uint64) * np.uint64(SIZE) & _LOW32
+    last = np.flatnonzero(cut_after(marks, line, reach))
     at = np.r_[0, last[:-1] + 1]
-    n = last - at + 1
-    # A polynomial of the words' hashes, by place in the unit.
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(int(n.max()) - 1, _BASE)], dtype=np.uint64)
-    a = np.add.reduceat(digests["x"] * powers[np.arange(len(words)) - np.repeat(at, n)], at) + n.astype(np.uint64)
-    a = (a ^ (a >> np.uint64(32))) * _MIX
-    return at.astype(np.int32), n.astype(np.int32), start[at].astype(np.int32), end[last].astype(np.int32), (a ^ (a >> np.uint64(32))).view(np.int64)
-
-
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+    text = np.searchsorted(begin, start[at], side="right") - 1
+    own = np.searchsorted(start, begin)  # each text's first word
+    words = last - at + 1
+    digests = polynomial(polynomial(letters, n), words)
+    small = lambda x: x.astype(np.int32)
+    return text, small(at - own[text]), small(words), small(start[at] - begin[text]), small(end[last] - begin[text]), digests.view(np.int64)
 
 
 def listed(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
-    """(_id, _h, text) to (_id, _h, units). Texts become Python objects a few at a time."""
+    """(_id, _h, text) to (_id, _h, units). Texts are taken a few at a time."""
     for batch in batches:
-        out = []
+        done, sizes = [], []
         for texts in chunks(batch.column("text"), CHARS_AT_ONCE):
-            missing = _words.missing(set().union(*map(words_of, texts)))
-            _words.known.update((w, hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()) for w in missing)
-            out += [units(t, _words.known, reach) for t in texts]
-        sizes = np.fromiter((len(x[0]) for x in out), np.int64, len(out))
-        flat = [np.concatenate([x[k] for x in out]) if out else np.empty(0, t) for k, t in enumerate((np.int32,) * 4 + (np.int64,))]
-        made = pa.StructArray.from_arrays([pa.array(x) for x in flat], ["at", "n", "start", "end", "a"])
-        offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+            done.append(units(texts, reach))
+            sizes.append(np.bincount(done[-1][0], minlength=len(texts)))
+        if not done:
+            continue
+        made = pa.StructArray.from_arrays([pa.array(np.concatenate([x[k] for x in done])) for k in range(1, 6)], ["at", "n", "start", "end", "a"])
+        offsets = pa.array(np.r_[0, np.cumsum(np.concatenate(sizes))], pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), pa.ListArray.from_arrays(offsets, made)], ["_id", "_h", "units"])
 
 
@@ -112,6 +121,7 @@ def repeats(spark: SparkSession, docs: DataFrame, reach: int = REACH, least: int
     shared = scratch.save(found.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "shared")
     # Rows equal in id and text are one document, whose units are later ones of nothing.
     common = scratch.save(found.join(shared.hint("merge"), "a", "left_semi"), "common")
+    scratch.drop("units", "shared")
     first = common.groupBy("a").agg(F.min(F.struct("_id", "_h", "at", "start")).alias("first"), F.max(F.struct("_id", "_h", "at", "start")).alias("last"))
     first = scratch.save(first.where("first <> last").select("a", "first"), "first")
     later = common.join(first.hint("merge"), "a").where("struct(_id, _h, at) > struct(first._id, first._h, first.at)")
@@ -164,10 +174,11 @@ WITH line AS (
   SELECT *, translate(ltrim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM word
 ), found AS (
   SELECT doc_id, l, k, w, row_number() OVER (PARTITION BY doc_id ORDER BY l, k) - 1 AS i,
-         (base + sum(length(p)) OVER (PARTITION BY doc_id, l ORDER BY k))::int AS stop, length(w) AS size, ('0x' || left(md5(w), 8))::bigint AS m
+         (base + sum(length(p)) OVER (PARTITION BY doc_id, l ORDER BY k))::int AS stop, length(w) AS size,
+         (unicode(w) * {FIRST}::bigint + unicode(right(w, 1)) * {LAST}::bigint + length(w) * {SIZE}) % 4294967296 AS m
   FROM spelt
 ), pair AS (
-  SELECT doc_id, l, i, xor(m * {FACTOR} % 4294967296, lead(m) OVER (PARTITION BY doc_id, l ORDER BY k)) AS h FROM found
+  SELECT doc_id, l, i, xor(m * {PAIR} % 4294967296, lead(m) OVER (PARTITION BY doc_id, l ORDER BY k)) AS h FROM found
 ), least AS (
   SELECT doc_id, min(h * 16777216 + i) OVER w AS best, count(h) OVER w AS n FROM pair WHERE h IS NOT NULL
   WINDOW w AS (PARTITION BY doc_id, l ORDER BY i ROWS BETWEEN CURRENT ROW AND {REACH - 1} FOLLOWING)
