@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Ranks documents without an id after all others.
 NO_ID = 2**63 - 1
+#: Spark's setting by which a query's shuffle files are deleted at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,8 +38,14 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write the rows and read them again: a cut of the lineage that survives executors."""
-        df.write.parquet(f"{self.root}/{name}")
+        """Write the rows and read them again: a cut of the lineage that survives executors. Its shuffle files go when it is written."""
+        conf = self.spark.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(f"{self.root}/{name}")
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

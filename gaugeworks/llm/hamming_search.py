@@ -3,8 +3,11 @@ r"""Exact top-k search among binary codes by incremental multi-index hashing.
 A code of 64 bits is cut into four segments of 16 bits. For each query, radius r = 0, 1, 2, ... a round looks up, in the index of each segment,
 the values at exactly r bits from the query's own, and verifies the full Hamming distance of what it finds. After round r every code
 within distance 4 * (r + 1) - 1 has been seen (a code further off in all segments differs in at least 4 * (r + 1) bits), so a query
-is done once its kth verified distance is no more than that. Rounds end when no query is left, or when one more would
-look up more values a segment than there are codes: then the queries that are left are compared with all codes, in blocks, which is exact as well.
+is done once its kth verified distance is no more than that. Rounds end when no query is left; the last radius, 16, has seen every code.
+A round's values are all masks of r bits, or, where fewer, the values that a segment has at all, by their distance.
+
+A code is taken in the one round and segment in which it is nearest (the first of equal segments), so no pair of query and code is met
+twice, and only if it isn't further than the query's kth verified distance so far.
 
 Equal codes are one row of the index, with the k + 1 least ids (no answer can need more, as equal codes tie and ties go to
 the least id), and equal query codes are searched once. So a code that a third of all rows share costs one row. Codes come from the signs of a vector's
@@ -16,20 +19,14 @@ Rows with a null id take no part; of rows that share an id each is a candidate.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import comb
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import Scratch
 
 BITS, SEGMENTS, SEGMENT = 64, 4, 16
-LAST_RADIUS = 5
-#: Queries compared with all codes at once.
-BLOCK = 4096
 
 
 def sign_code(v: Column) -> Column:
@@ -55,8 +52,20 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
+def at_distance(values: Column, own: Column, r: int) -> Column:
+    return F.filter(values, lambda v: distance(v, own) == r)
+
+
+def nearest_in(q: Column, code: Column, s: Column, r: int) -> Column:
+    """Whether the codes are r bits apart in segment s, more in the segments before it, and no less in those after it."""
+    apart = F.array(*[distance(segment(q, k), segment(code, k)) for k in range(SEGMENTS)])
+    return (F.array_min(apart) == r) & (F.array_position(apart, F.lit(r)) == s + 1)
+
+
 def search(spark: SparkSession, codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """codes(id, code) and queries(query_id, code, with query_id among the ids) to (query_id, rank, id, distance); ties to the least id."""
+    """codes(id, code) and queries(query_id, code, with query_id among the ids) to (query_id, rank, id, distance, radius); ties to the least id.
+
+    radius is the last that was searched for the query."""
     scratch = Scratch(spark, "hamming")
     # The least k + 1 ids of each code are ranked within salted groups and then among those, so a hot code is never gathered.
     salted = Window.partitionBy("code", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
@@ -64,35 +73,34 @@ def search(spark: SparkSession, codes: DataFrame, queries: DataFrame, k: int) ->
     ranked = codes.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1)
     ranked = ranked.withColumn("r", F.row_number().over(whole)).where(F.col("r") <= k + 1)
     index = scratch.save(ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "index")
-    asked = scratch.save(queries.select("code").distinct().select(F.col("code").alias("q")), "asked")
-    entries = scratch.save(
-        index.select(F.explode(F.array(*[F.struct(F.lit(s).alias("s"), segment(F.col("code"), s).alias("v")) for s in range(SEGMENTS)])).alias("e"), "code").select("e.s", "e.v", "code"),
-        "entries",
-    )
-    n = index.count()
-    best = spark.createDataFrame([], "q bigint, found array<struct<distance:int,code:bigint>>")
-    open_queries, done = asked, []
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), segment(F.col("code"), s).alias("v")) for s in range(SEGMENTS)]))
+    entries = scratch.save(index.select("code", F.size("ids").alias("n"), each.alias("e")).select("e.s", "e.v", "code", "n"), "entries")
+    # One row a segment, of at most 65,536 values.
+    values = scratch.save(entries.groupBy("s").agg(F.collect_set("v").alias("values")), "values")
+    most = values.agg(F.max(F.size("values"))).first()[0] or 0
+    left = scratch.save(queries.select("code").distinct().select(F.col("code").alias("q"), F.lit(BITS).alias("bound"), F.lit(0).alias("held")), "asked")
+    best = None
+    done = []
     for r in range(SEGMENT + 1):
-        if r > LAST_RADIUS or comb(SEGMENT, r) > max(n, 64):
-            hits = everything(scratch, index, open_queries, open_queries.count(), k)
-            limit = BITS
+        own = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), segment(F.col("q"), s).alias("own")) for s in range(SEGMENTS)]))
+        probes = left.select("q", "bound", own.alias("e")).select("q", "bound", "e.s", "e.own")
+        if comb(SEGMENT, r) <= most:
+            masks = at_distance(F.sequence(F.lit(0), F.lit((1 << SEGMENT) - 1)), F.lit(0), r)
+            probes = probes.select("q", "bound", "s", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("own")))).alias("v"))
         else:
-            masks = F.filter(F.sequence(F.lit(0), F.lit((1 << SEGMENT) - 1)), lambda m, r=r: F.bit_count(m) == r)
-            segments = F.array(*[F.struct(F.lit(s).alias("s"), segment(F.col("q"), s).alias("own")) for s in range(SEGMENTS)])
-            probes = open_queries.select("q", F.explode(segments).alias("e")).select("q", "e.s", "e.own", F.explode(masks).alias("m"))
-            probes = probes.select("q", "s", F.col("own").bitwiseXOR(F.col("m")).alias("v"))
-            hits = probes.join(entries.hint("merge"), ["s", "v"]).select("q", "code")
-            limit = SEGMENTS * (r + 1) - 1
-        new = hits.select("q", F.struct(distance(F.col("q"), F.col("code")).alias("distance"), "code").alias("hit")).distinct()
-        old = best.select("q", F.explode("found").alias("hit"))
-        best = scratch.save(kept_best(old.unionByName(new).distinct(), index, k), f"best{r}")
-        settled = best.where((F.col("held") > k) & (F.col("reach") <= limit)) if limit < BITS else best
-        done.append(settled.select("q", "found"))
-        if limit == BITS:
-            break
-        open_queries = scratch.save(open_queries.join(settled, "q", "left_anti"), f"open{r}")
-        best = best.join(open_queries, "q", "left_semi").select("q", "found")
-        if not open_queries.limit(1).count():
+            probes = probes.join(F.broadcast(values), "s").select("q", "bound", "s", F.explode(at_distance(F.col("values"), F.col("own"), r)).alias("v"))
+        met = probes.join(entries.hint("merge"), ["s", "v"]).withColumn("distance", distance(F.col("q"), F.col("code")))
+        new = met.where((F.col("distance") <= F.col("bound")) & nearest_in(F.col("q"), F.col("code"), F.col("s"), r)).select("q", "distance", "code", "n")
+        best = scratch.save(kept_best(new if best is None else best.unionByName(new), k), f"best{r}")
+        reach = best.groupBy("q").agg(F.sum("n").alias("held"), F.max("distance").alias("reach"))
+        # All queries, also those for which nothing has been found yet.
+        known = left.select("q").join(reach, "q", "left").select("q", F.coalesce("held", F.lit(0)).alias("held"), F.coalesce("reach", F.lit(BITS)).alias("reach"))
+        settled = (F.col("held") > k) & (F.col("reach") <= SEGMENTS * (r + 1) - 1) | F.lit(r == SEGMENT)
+        known = scratch.save(known.withColumn("settled", settled), f"known{r}")
+        done.append(best.join(known.where("settled").select("q"), "q", "left_semi").withColumn("radius", F.lit(r)))
+        left = known.where("NOT settled").select("q", F.when(F.col("held") > k, F.col("reach")).otherwise(BITS).alias("bound"))
+        best = best.join(left.select("q"), "q", "left_semi")
+        if not left.limit(1).count():
             break
     found = done[0]
     for d in done[1:]:
@@ -100,54 +108,22 @@ def search(spark: SparkSession, codes: DataFrame, queries: DataFrame, k: int) ->
     return answers(scratch.save(found, "found"), index, queries, k)
 
 
-def kept_best(hits: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(q, hit) to (q, found, held, reach): the nearest codes that together hold the k + 1 least answers."""
-    sized = hits.select("q", "hit", F.col("hit.code").alias("code")).join(index.select("code", F.size("ids").alias("n")).hint("merge"), "code")
-    before = Window.partitionBy("q").orderBy("hit.distance").rangeBetween(Window.unboundedPreceding, -1)
+def kept_best(hits: DataFrame, k: int) -> DataFrame:
+    """(q, distance, code, n) of the nearest codes that together hold the k + 1 least answers."""
+    before = Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
     # All codes of the distance at which k + 1 ids are reached stay: ids decide among them.
-    near = sized.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") <= k)
-    return near.groupBy("q").agg(
-        F.sort_array(F.collect_list("hit")).alias("found"), F.sum("n").alias("held"), F.max("hit.distance").alias("reach")
-    )
-
-
-def everything(scratch: Scratch, index: DataFrame, open_queries: DataFrame, n: int, k: int) -> DataFrame:
-    """(q, code) of the nearest codes of every query that is left, by comparing all: blocks of BLOCK queries go to each part of the index."""
-    blocks = max(1, -(-n // BLOCK))
-    dealt = scratch.save(open_queries.select("q", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block")), "blocks")
-    found = None
-    for at in range(blocks):
-        # A block is 8 bytes a query, and about BLOCK queries.
-        asked = np.array([r["q"] for r in dealt.where(F.col("block") == at).toLocalIterator()], np.int64)
-        part = scratch.save(index.select("code").mapInPandas(lambda b, q=asked: compared(b, q, k), "q bigint, code bigint"), f"block{at}")
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def compared(batches: Iterator[pd.DataFrame], asked: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """The codes of each batch that are as near as the batch's (k + 1)th to a query."""
-    for batch in batches:
-        codes = batch["code"].to_numpy()
-        for at in range(0, len(asked), 128):
-            some = asked[at : at + 128]
-            far = np.bitwise_count((some[:, None] ^ codes[None, :]).view(np.uint64))
-            if len(codes) > k + 1:
-                rows, cols = np.nonzero(far <= np.partition(far, k, axis=1)[:, k : k + 1])
-            else:
-                rows, cols = np.nonzero(far <= BITS)
-            yield pd.DataFrame({"q": some[rows], "code": codes[cols]})
+    return hits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") <= k).drop("before")
 
 
 def answers(found: DataFrame, index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Codes to ids, without the query's own."""
-    rows = found.select("q", F.explode("found").alias("hit")).select("q", "hit.distance", "hit.code").join(index, "code")
-    rows = rows.select("q", "distance", F.explode("ids").alias("id"))
+    rows = found.join(index, "code").select("q", "distance", "radius", F.explode("ids").alias("id"))
     # A query code's k + 1 nearest ids serve every query that has it: leaving out its own leaves k.
     order = Window.partitionBy("q").orderBy("distance", "id")
-    rows = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("q", "distance", "id")
+    rows = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("q", "distance", "radius", "id")
     each = queries.select("query_id", F.col("code").alias("q")).join(rows, "q").where("id <> query_id")
     own = Window.partitionBy("query_id").orderBy("distance", "id")
-    return each.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    return each.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance", "radius")
 
 
 def report(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int = 50) -> DataFrame:

@@ -7,21 +7,25 @@ lists change, or after ``ROUNDS``. Lists of a node number at most ``2 * DEGREE``
 of the nodes that name a hub, those with the least hash for the round are compared, others in later rounds.
 
 For the search, each node keeps ``LONG`` random neighbours besides, so that no tight cluster is closed to the rest. A query starts from its own node, if its
-vector is in the graph, and from the nearest of a sample of nodes by hash: ``SEEDS``, or eight times the root of the number of nodes if that is more. It walks greedily:
+vector is in the graph, and from the nearest of a sample of nodes by hash, the seeds: ``SEEDS``, or eight times the root of the number of nodes if that is more, at most
+``MOST_SEEDS``, as every task gets them. It walks greedily:
 it keeps its nearest nodes, ``BEAM`` and more as the table doubles, expands those not yet expanded, and stops when none is left. Every step is a join of the walking queries with the graph, so
-graph, vectors and queries stay distributed.
+graph, vectors and queries stay distributed, and every row holds one node at most.
 
-Equal vectors are one node, which lists its k + 1 least ids: no answer can need more, as equal vectors tie and ties go to the least id. The graph is built and walked over
-vectors in single precision; answers are ranked by exact distances in double precision over the original vectors.
+Equal vectors are one node, which lists its k + 1 least ids: no answer can need more, as equal vectors tie and ties go to the least id. Nodes are named by a 64-bit hash; of
+vectors that collide in it all but one get another name from a second hash. The graph is built and walked over
+differences from a centre, the medians of the seeds' components, in single precision; in lists of neighbours they are in half precision, each scaled by its own largest component, so that
+vectors far larger than the rest cost these nothing. Answers are ranked by exact distances in double precision over the original vectors.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those without an id or of another length than most. Rows that
-share an id are candidates each. With at most ``SEEDS`` nodes the seeds are all nodes, and answers are exact. Fewer candidates than k: all are returned.
+share an id are candidates each. With at most ``SEEDS`` nodes the seeds are all nodes. Fewer candidates than k: all are returned.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,28 +40,61 @@ DEGREE = 32
 ROUNDS = 8
 OFFERS = 10
 SEEDS = 512
+MOST_SEEDS = 100_000
 BEAM = 160
 EXPANDED = 20
 LONG = 4
 #: Up to so many nodes a walk keeps BEAM; each doubling beyond adds as many.
 BEAM_NODES = 8192
 PROJECTIONS = 3
+#: Components further than this from the centre count as this far for the graph, so that no square overflows.
+FARTHEST = 1e15
+#: Lists of neighbours that are compared at once.
+AT_ONCE = 500
 
 
-def matrix(column: pd.Series | list[bytes]) -> np.ndarray:
+def raw(column: pa.Array) -> np.ndarray:
+    """The bytes of all values of a binary column, which has no nulls, one after another."""
+    if not len(column):
+        return np.empty(0, np.uint8)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+
+
+def matrix(column: pa.Array) -> np.ndarray:
     """Rows of equal length, little-endian singles, as a matrix."""
-    return np.frombuffer(b"".join(column), "<f4").reshape(len(column), -1)
+    return raw(column).view("<f4").reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
+
+
+def unhalved(column: pa.Array) -> np.ndarray:
+    """What halved() made, as a matrix of singles."""
+    if not len(column):
+        return np.zeros((0, 1), np.float32)
+    rows = raw(column).reshape(len(column), -1)
+    return np.ascontiguousarray(rows[:, 4:]).view("<f2").astype(np.float32) * np.ascontiguousarray(rows[:, :4]).view("<f4")
 
 
-def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def binary(rows: np.ndarray) -> pa.Array:
+    """A matrix as a binary column, one value a row."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def encoded(batches: Iterator[pa.RecordBatch], name: str, centre: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(name, embedding) to (name, v)."""
     for batch in batches:
-        yield pd.DataFrame({"node": batch["node"].to_numpy(), "v": [np.asarray(x, "<f4").tobytes() for x in batch["embedding"]]})
+        flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        v = np.clip(flat - centre[None, :], -FARTHEST, FARTHEST).astype("<f4") if batch.num_rows else np.zeros((0, 1), "<f4")
+        yield pa.RecordBatch.from_arrays([batch.column(name), binary(v)], [name, "v"])
 
 
-def halved(batches: Iterator[pd.DataFrame], top: float) -> Iterator[pd.DataFrame]:
+def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, v) with v in half precision, after its scale in single precision."""
     for batch in batches:
-        small = (matrix(batch["v"]).astype(np.float64) / top).astype("<f2") if len(batch) else []
-        yield pd.DataFrame({"node": batch["node"].to_numpy(), "v": [x.tobytes() for x in small]})
+        v = matrix(batch.column("v"))
+        top = np.maximum(np.abs(v).max(axis=1, keepdims=True), np.float32(1e-30)).astype("<f4")
+        small = np.hstack([top.view(np.uint8).reshape(len(v), -1), (v / top).astype("<f2").view(np.uint8).reshape(len(v), -1)])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), binary(small)], ["node", "v"])
 
 
 def least_ids(rows: DataFrame, k: int) -> DataFrame:
@@ -69,11 +106,11 @@ def least_ids(rows: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def projected(batches: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]:
+def projected(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        v = matrix(batch["v"])
+        v = matrix(batch.column("v"))
         axis = np.random.default_rng(seed).standard_normal(v.shape[1]).astype(np.float32)
-        yield pd.DataFrame({"node": batch["node"].to_numpy(), "at": (v @ axis).astype(np.float64)})
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array((v @ axis).astype(np.float64))], ["node", "at"])
 
 
 def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,46 +127,46 @@ def compared(batches: Iterator[pa.RecordBatch], offers: int) -> Iterator[pa.Reco
 
     Pairs of two members that aren't fresh have been compared already.
     """
+    for whole in batches:
+        for at in range(0, whole.num_rows, AT_ONCE):
+            near = whole.column(0).slice(at, AT_ONCE)
+            members = near.flatten()
+            bounds = near.offsets.to_numpy() - near.offsets[0].as_py()
+            nodes, fresh = members.field("node").to_numpy(), members.field("fresh").to_numpy(zero_copy_only=False)
+            vectors = unhalved(members.field("v"))
+            out = []
+            for lo, hi in itertools.pairwise(bounds.tolist()):
+                if hi - lo < 2:
+                    continue
+                v, own, new = vectors[lo:hi], nodes[lo:hi], fresh[lo:hi]
+                square = (v * v).sum(axis=1)
+                d = np.maximum(square[:, None] + square[None, :] - 2 * (v @ v.T), 0)
+                d[~(new[:, None] | new[None, :])] = np.inf
+                np.fill_diagonal(d, np.inf)
+                n = min(offers, hi - lo - 1)
+                best = np.argpartition(d, n - 1, axis=1)[:, :n]
+                rows = np.repeat(np.arange(hi - lo), n)
+                cols = best.ravel()
+                good = np.isfinite(d[rows, cols])
+                out.append((own[rows[good]], own[cols[good]], d[rows, cols][good]))
+            if out:
+                x, y, d = (np.concatenate(z) for z in zip(*out, strict=True))
+                # Of these offers to a node only the nearest go on.
+                order = np.lexsort((y, d, x))
+                x, y, d = x[order], y[order], d[order]
+                new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+                x, y, d = x[new], y[new], d[new]
+                first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                near_enough = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)])) < DEGREE // 2
+                x, y, d = x[near_enough], y[near_enough], d[near_enough]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(d, pa.float64())], ["node", "other", "d"])
+
+
+def measured(batches: Iterator[pa.RecordBatch], names: tuple[str, str], decode: Callable[[pa.Array], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(names, v, w) to (names, d)."""
     for batch in batches:
-        near = batch.column(0)
-        bounds, members = near.offsets.to_numpy(), near.values
-        nodes, fresh = members.field("node").to_numpy(), members.field("fresh").to_numpy(zero_copy_only=False)
-        halves = np.frombuffer(b"".join(members.field("v").to_pylist()), "<f2")
-        vectors = halves.astype(np.float32).reshape(len(members), -1) if len(members) else np.zeros((0, 1), np.float32)
-        out = []
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if hi - lo < 2:
-                continue
-            v, own, new = vectors[lo:hi], nodes[lo:hi], fresh[lo:hi]
-            square = (v * v).sum(axis=1)
-            d = np.maximum(square[:, None] + square[None, :] - 2 * (v @ v.T), 0)
-            d[~(new[:, None] | new[None, :])] = np.inf
-            np.fill_diagonal(d, np.inf)
-            n = min(offers, hi - lo - 1)
-            best = np.argpartition(d, n - 1, axis=1)[:, :n]
-            rows = np.repeat(np.arange(hi - lo), n)
-            cols = best.ravel()
-            good = np.isfinite(d[rows, cols])
-            out.append((own[rows[good]], own[cols[good]], d[rows, cols][good]))
-        if out:
-            x, y, d = (np.concatenate(z) for z in zip(*out, strict=True))
-            # Of a batch's offers to a node only the nearest go on.
-            order = np.lexsort((y, d, x))
-            x, y, d = x[order], y[order], d[order]
-            new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
-            x, y, d = x[new], y[new], d[new]
-            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-            near_enough = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)])) < DEGREE // 2
-            x, y, d = x[near_enough], y[near_enough], d[near_enough]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(d, pa.float64())], ["node", "other", "d"])
-
-
-def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(node, other, v, w) to (node, other, d)."""
-    for batch in batches:
-        v, w = (np.frombuffer(b"".join(batch[c]), "<f2").astype(np.float32).reshape(len(batch), -1) for c in ("v", "w"))
-        d = ((v - w) ** 2).sum(axis=1, dtype=np.float64)
-        yield pd.DataFrame({"node": batch["node"].to_numpy(), "other": batch["other"].to_numpy(), "d": d})
+        d = ((decode(batch.column("v")) - decode(batch.column("w"))) ** 2).sum(axis=1, dtype=np.float64)
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(d)], [*names, "d"])
 
 
 class Graph:
@@ -144,20 +181,37 @@ class Graph:
         size = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
         self.width = size[0]["n"] if size else 0
         # Adding 0 makes both zeros the same, as their distance is 0.
-        rows = rows.where(F.size("embedding") == self.width).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
-        self.rows = scratch.save(rows.withColumn("node", F.xxhash64("embedding")), "rows")
-        self.nodes = scratch.save(
-            self.rows.groupBy("node").agg(F.any_value("embedding").alias("embedding")).mapInPandas(encoded, "node bigint, v binary"), "nodes"
-        )
+        rows = self.plain(rows.where(F.size("embedding") == self.width))
+        clash = rows.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high").select("a", "low")
+        self.clash = scratch.save(clash, "clash")
+        self.rows = scratch.save(self.named(rows), "rows")
+        vectors = scratch.save(self.rows.groupBy("node").agg(F.any_value("embedding").alias("embedding")), "vectors")
         self.ids = scratch.save(least_ids(self.rows, k), "ids")
-        self.n = self.nodes.count()
-        self.seeds = scratch.save(self.nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(max(SEEDS, math.isqrt(64 * self.n))), "seeds")
+        self.n = vectors.count()
+        seeds = vectors.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(min(MOST_SEEDS, max(SEEDS, math.isqrt(64 * self.n)))).toPandas()
+        self.centre = np.median(np.stack(seeds["embedding"].to_list()), axis=0) if len(seeds) else np.zeros(1)
+        self.nodes = scratch.save(self.encoded(vectors, "node"), "nodes")
+        scratch.drop("vectors")
+        self.seeds = seeds["node"].to_numpy(), np.clip(np.stack(seeds["embedding"].to_list()) - self.centre, -FARTHEST, FARTHEST).astype(np.float32) if len(seeds) else np.zeros((0, 1), np.float32)
         self.beam = round(BEAM * (1 + max(0.0, math.log2(max(1, self.n) / BEAM_NODES))))
-        if self.n > SEEDS:
-            # Lists of neighbours carry vectors in half precision, scaled to at most 1; only the graph depends on it.
-            top = self.rows.agg(F.max(F.array_max(F.transform("embedding", F.abs)))).first()[0]
-            self.halves = scratch.save(self.nodes.mapInPandas(lambda b: halved(b, top), "node bigint, v binary"), "halves")
-        self.edges = self.descend() if self.n > SEEDS else None
+        # Lists of neighbours carry vectors in half precision; only the graph depends on it.
+        self.halves = scratch.save(self.nodes.mapInArrow(halved, "node bigint, v binary"), "halves")
+        self.edges = self.descend()
+
+    @staticmethod
+    def plain(rows: DataFrame) -> DataFrame:
+        """rows(..., embedding) with two hashes a and b of it. Adding 0 makes both zeros the same, as their distance is 0."""
+        rows = rows.withColumn("embedding", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)))
+        return rows.withColumns({"a": F.xxhash64("embedding"), "b": F.xxhash64("embedding", F.lit(7))})
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """rows(..., a, b) with their node."""
+        name = F.when(F.col("low").isNull() | (F.col("b") == F.col("low")), F.col("a")).otherwise(F.xxhash64("a", "b"))
+        return rows.join(self.clash, "a", "left").withColumn("node", name).drop("a", "b", "low")
+
+    def encoded(self, rows: DataFrame, name: str) -> DataFrame:
+        centre = self.centre
+        return rows.select(name, "embedding").mapInArrow(lambda b: encoded(b, name, centre), f"{name} bigint, v binary")
 
     def kept(self, offers: DataFrame) -> DataFrame:
         """The DEGREE nearest of each node's offers(node, other, d, age); age counts the rounds since an edge was found."""
@@ -183,11 +237,11 @@ class Graph:
         """Random neighbours and neighbours along a few random projections, both ways."""
         pairs = None
         for seed in range(PROJECTIONS):
-            line = self.nodes.mapInPandas(lambda b, s=seed: projected(b, s), "node bigint, at double")
+            line = self.nodes.mapInArrow(lambda b, s=seed: projected(b, s), "node bigint, at double")
             found = line.repartitionByRange(F.col("at")).sortWithinPartitions("at", "node").select("node").mapInPandas(runs, "node bigint, other bigint")
             pairs = found if pairs is None else pairs.unionByName(found)
         both = pairs.union(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"))).union(self.random).where("node <> other").distinct()
-        offers = self.with_vectors(both).mapInPandas(measured, "node bigint, other bigint, d double")
+        offers = self.with_vectors(both).mapInArrow(lambda b: measured(b, ("node", "other"), unhalved), "node bigint, other bigint, d double")
         return self.scratch.save(self.kept(offers.withColumn("age", F.lit(0))), "graph0")
 
     def descend(self) -> DataFrame:
@@ -207,7 +261,6 @@ class Graph:
             known = graph.withColumn("age", F.col("age") + 1)
             graph = self.scratch.save(self.kept(known.unionByName(offers.withColumn("age", F.lit(0)))), f"graph{turn}")
             self.scratch.drop(f"graph{turn - 1}")
-            self.spark._jvm.System.gc()  # lets Spark delete the shuffle files of earlier rounds
             if graph.where("age = 0").count() < 0.02 * self.n * DEGREE:
                 break
         # Searched both ways: a node's own neighbours and a bounded number of nodes that name it.
@@ -219,47 +272,46 @@ class Graph:
 
     def search(self, queries: DataFrame) -> DataFrame:
         """queries(query_id, embedding) to (query_id, rank, vec_id, score): the k nearest found."""
-        asked = self.scratch.save(queries.withColumn("q", F.xxhash64("embedding")), "asked")
-        points = asked.groupBy("q").agg(F.any_value("embedding").alias("embedding")).select(F.col("q").alias("node"), "embedding")
-        points = self.scratch.save(points.mapInPandas(encoded, "node bigint, v binary").withColumnsRenamed({"node": "q"}), "points")
+        asked = self.scratch.save(self.named(self.plain(queries)).withColumnRenamed("node", "q"), "asked")
+        points = self.scratch.save(self.encoded(asked.groupBy("q").agg(F.any_value("embedding").alias("embedding")), "q"), "points")
         keep = max(self.beam, self.k + 1)
         # As many steps for a wide beam as for one of BEAM.
         step = EXPANDED * keep // BEAM
+        nearest = Window.partitionBy("q").orderBy("d", "node")
         beam = self.scratch.save(self.entries(points, keep), "beam0")
         turn = 0
-        while self.edges is not None:
+        while beam.where("NOT seen").limit(1).count():
             turn += 1
-            front = beam.select("q", F.explode(F.slice(F.filter("beam", lambda x: ~x["seen"]), 1, step)["node"]).alias("node"))
+            front = beam.where("NOT seen").withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= step).select("q", "node")
+            front = self.scratch.save(front, f"front{turn}")
             reached = front.join(self.edges, "node").select("q", F.explode("others").alias("node")).distinct()
-            lists = reached.join(self.nodes, "node").groupBy("q").agg(F.collect_list(F.struct("node", "v")).alias("found"))
-            walk = points.join(beam, "q").join(lists, "q", "left")
-            beam = self.scratch.save(walk.mapInPandas(lambda b: walked(b, keep, step), BEAM_SCHEMA), f"beam{turn}")
-            self.scratch.drop(f"beam{turn - 1}")
-            if not beam.where(F.exists("beam", lambda x: ~x["seen"])).limit(1).count():
-                break
+            fresh = reached.join(beam.select("q", "node"), ["q", "node"], "left_anti").join(self.nodes, "node").join(points.withColumnRenamed("v", "w"), "q")
+            found = fresh.mapInArrow(lambda b: measured(b, ("q", "node"), matrix), "q bigint, node bigint, d double").withColumn("seen", F.lit(False))
+            known = beam.join(front.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "d", (F.col("seen") | F.col("now").isNotNull()).alias("seen"))
+            ranked = known.unionByName(found).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= keep).drop("r")
+            beam = self.scratch.save(ranked, f"beam{turn}")
+            self.scratch.drop(f"beam{turn - 1}", f"front{turn}")
         return self.answers(beam, asked)
 
     def entries(self, points: DataFrame, keep: int) -> DataFrame:
-        """Each query with its own node and its nearest seeds; the seeds are few (see __init__), so each task gets them all."""
-        seeds = self.seeds.toPandas()
-        names, v = seeds["node"].to_numpy(), matrix(seeds["v"]) if len(seeds) else np.zeros((0, max(1, self.width)), np.float32)
+        """(q, node, d, seen): each query's own node and its nearest seeds."""
+        names, v = self.seeds
 
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
-                for q, inside, x in zip(batch["q"], batch["inside"], matrix(batch["v"]) if len(batch) else [], strict=True):
-                    d = ((v - x) ** 2).sum(axis=1)
-                    found = [(float(d[i]), int(names[i])) for i in np.lexsort((names, d))[:keep]]
-                    if inside and (0.0, q) not in found:
-                        found = [(0.0, int(q)), *found][:keep]
-                    rows.append([{"node": node, "d": far, "seen": False} for far, node in found])
-                yield pd.DataFrame({"q": batch["q"].to_numpy(), "beam": rows})
+                for q, inside, x in zip(batch.column("q").to_pylist(), batch.column("inside").to_pylist(), matrix(batch.column("v")), strict=True):
+                    d = ((v - x) ** 2).sum(axis=1, dtype=np.float64)
+                    best = np.lexsort((names, d))[:keep]
+                    node, far = names[best], d[best]
+                    if inside and q not in node:
+                        node, far = np.r_[q, node], np.r_[0.0, far]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), q)), pa.array(node), pa.array(far), pa.array(np.zeros(len(node), bool))], ["q", "node", "d", "seen"])
 
         own = self.nodes.select(F.col("node").alias("q"), F.lit(True).alias("inside"))
-        return points.join(own, "q", "left").withColumn("inside", F.coalesce("inside", F.lit(False))).mapInPandas(near, BEAM_SCHEMA)
+        return points.join(own, "q", "left").withColumn("inside", F.coalesce("inside", F.lit(False))).mapInArrow(near, "q bigint, node bigint, d double, seen boolean")
 
     def answers(self, beam: DataFrame, asked: DataFrame) -> DataFrame:
-        found = beam.select("q", F.explode("beam.node").alias("node"))
+        found = beam.select("q", "node")
         pairs = asked.select("query_id", "embedding", "q").join(found, "q").join(self.ids, "node").select("query_id", "embedding", "node", F.explode("ids").alias("id"))
         # Ids alone may repeat; of rows equal in id and vector one answers.
         own = self.rows.select("id", "node", F.col("embedding").alias("other")).dropDuplicates(["id", "node"])
@@ -270,32 +322,6 @@ class Graph:
         return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-BEAM_SCHEMA = "q bigint, beam array<struct<node:bigint,d:double,seen:boolean>>"
-
-
-def walked(batches: Iterator[pd.DataFrame], keep: int, step: int) -> Iterator[pd.DataFrame]:
-    """(q, v, beam, found) to (q, beam): the nearest of both, with what was expanded marked."""
-    for batch in batches:
-        rows = []
-        for v, beam, found in zip(batch["v"], batch["beam"], batch["found"], strict=True):
-            beam = list(beam)
-            left = step
-            old = {}
-            for x in beam:
-                seen = x["seen"]
-                if not seen and left:
-                    seen, left = True, left - 1
-                old[x["node"]] = (x["d"], seen)
-            fresh = [x for x in found if x["node"] not in old] if found is not None else []
-            if fresh:
-                d = ((matrix(pd.Series([x["v"] for x in fresh])) - np.frombuffer(v, "<f4")) ** 2).sum(axis=1)
-                for x, far in zip(fresh, d.tolist(), strict=True):
-                    old[x["node"]] = (far, False)
-            best = sorted((d, node, seen) for node, (d, seen) in old.items())[:keep]
-            rows.append([{"node": node, "d": d, "seen": seen} for d, node, seen in best])
-        yield pd.DataFrame({"q": batch["q"].to_numpy(), "beam": rows})
-
-
 def exact(a: Column, b: Column) -> Column:
     """Euclidean distance in double precision, summed in order of components."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
