@@ -79,14 +79,19 @@ def search(spark: SparkSession, codes: DataFrame, queries: DataFrame, k: int) ->
     values = scratch.save(entries.groupBy("s").agg(F.collect_set("v").alias("values")), "values")
     most = values.agg(F.max(F.size("values"))).first()[0] or 0
     left = scratch.save(queries.select("code").distinct().select(F.col("code").alias("q"), F.lit(BITS).alias("bound"), F.lit(0).alias("held")), "asked")
+    # The masks of each number of bits, 65,536 in all.
+    every = spark.range(1 << SEGMENT).select(F.bit_count("id").cast("int").alias("r"), F.col("id").cast("int").alias("m"))
+    masks = scratch.save(every.groupBy("r").agg(F.collect_list("m").alias("masks")).coalesce(1), "masks")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     best = None
     done = []
     for r in range(SEGMENT + 1):
         own = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), segment(F.col("q"), s).alias("own")) for s in range(SEGMENTS)]))
-        probes = left.select("q", "bound", own.alias("e")).select("q", "bound", "e.s", "e.own")
+        # Few queries make many probes, so they are dealt to all tasks.
+        probes = left.repartition(parts, "q").select("q", "bound", own.alias("e")).select("q", "bound", "e.s", "e.own", F.lit(r).alias("r"))
         if comb(SEGMENT, r) <= most:
-            masks = at_distance(F.sequence(F.lit(0), F.lit((1 << SEGMENT) - 1)), F.lit(0), r)
-            probes = probes.select("q", "bound", "s", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("own")))).alias("v"))
+            probes = probes.join(F.broadcast(masks), "r").select("q", "bound", "s", F.explode("masks").alias("m"), "own")
+            probes = probes.select("q", "bound", "s", F.col("own").bitwiseXOR(F.col("m")).alias("v"))
         else:
             probes = probes.join(F.broadcast(values), "s").select("q", "bound", "s", F.explode(at_distance(F.col("values"), F.col("own"), r)).alias("v"))
         met = probes.join(entries.hint("merge"), ["s", "v"]).withColumn("distance", distance(F.col("q"), F.col("code")))

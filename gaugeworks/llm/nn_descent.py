@@ -44,7 +44,7 @@ MOST_SEEDS = 100_000
 BEAM = 160
 EXPANDED = 20
 LONG = 4
-#: Up to so many nodes a walk keeps BEAM; each doubling beyond adds as many.
+#: Up to so many nodes a walk keeps BEAM; each doubling beyond adds half as many.
 BEAM_NODES = 8192
 PROJECTIONS = 3
 #: Components further than this from the centre count as this far for the graph, so that no square overflows.
@@ -193,7 +193,7 @@ class Graph:
         self.nodes = scratch.save(self.encoded(vectors, "node"), "nodes")
         scratch.drop("vectors")
         self.seeds = seeds["node"].to_numpy(), np.clip(np.stack(seeds["embedding"].to_list()) - self.centre, -FARTHEST, FARTHEST).astype(np.float32) if len(seeds) else np.zeros((0, 1), np.float32)
-        self.beam = round(BEAM * (1 + max(0.0, math.log2(max(1, self.n) / BEAM_NODES))))
+        self.beam = round(BEAM * (1 + max(0.0, math.log2(max(1, self.n) / BEAM_NODES)) / 2))
         # Lists of neighbours carry vectors in half precision; only the graph depends on it.
         self.halves = scratch.save(self.nodes.mapInArrow(halved, "node bigint, v binary"), "halves")
         self.edges = self.descend()
@@ -282,14 +282,15 @@ class Graph:
         turn = 0
         while beam.where("NOT seen").limit(1).count():
             turn += 1
-            front = beam.where("NOT seen").withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= step).select("q", "node")
+            front = beam.where("NOT seen").withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= step).select("q", "node", "d")
             front = self.scratch.save(front, f"front{turn}")
             reached = front.join(self.edges, "node").select("q", F.explode("others").alias("node")).distinct()
             fresh = reached.join(beam.select("q", "node"), ["q", "node"], "left_anti").join(self.nodes, "node").join(points.withColumnRenamed("v", "w"), "q")
             found = fresh.mapInArrow(lambda b: measured(b, ("q", "node"), matrix), "q bigint, node bigint, d double").withColumn("seen", F.lit(False))
-            known = beam.join(front.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "d", (F.col("seen") | F.col("now").isNotNull()).alias("seen"))
-            ranked = known.unionByName(found).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= keep).drop("r")
-            beam = self.scratch.save(ranked, f"beam{turn}")
+            # What was expanded is in front too, as seen. Dealt by query once, for both the aggregate and the window.
+            known = beam.unionByName(front.withColumn("seen", F.lit(True))).unionByName(found).repartition(F.col("q"))
+            known = known.groupBy("q", "node").agg(F.min("d").alias("d"), F.max("seen").alias("seen"))
+            beam = self.scratch.save(known.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= keep).drop("r"), f"beam{turn}")
             self.scratch.drop(f"beam{turn - 1}", f"front{turn}")
         return self.answers(beam, asked)
 

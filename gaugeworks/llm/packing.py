@@ -35,7 +35,7 @@ PART = 50_000
 TOKENIZER = "word_bpe_49k.json"
 #: Whitespace to the tokenizer; Python's own split also takes the separators 0x1C to 0x1F, which are symbols to it.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-CACHED_WORDS = 900_000
+CACHED_WORDS = 600_000
 #: Symbols of which the first that is a single id parts words.
 MARKS = "\u00ac\u00a6\u00a7\u00b6\u00a4|"
 _SPACE = re.compile("[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -118,7 +118,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: i
     end = array("I", [end_id]).tobytes()
     for batch in batches:
         out = []
-        for texts in chunks(batch.column("text"), 4_000_000):
+        for texts in chunks(batch.column("text"), 1_000_000):
             split = [words_of(t, _tokenizers[path].special) for t in texts]
             known = _tokenizers[path].learn(set().union(*split))
             for words in split:
