@@ -15,13 +15,11 @@ from pyspark.sql import functions as F
 
 # Words and symbols that the stages know, and their windows.
 STRIPPED = "*_`\"' \t\n()[]{}<>.,:;!?/|\\-+=~^%"
-CUES = frozenset("answer option choice key ans".split())
-LINKS = frozenset(
-    "is are was were the single best correct final to be of my our one answer option choice key given therefore thus so then must would will".split()
-)
-DENIALS = frozenset("not wrong incorrect false never unlikely impossible mistake except cannot cant isnt wasnt no".split())
-LEADING_DENIALS = frozenset("not never no".split())
-EITHER = frozenset("or alternatively maybe perhaps".split())
+CUES = frozenset({"answer", "option", "choice", "key", "ans"})
+LINKS = frozenset({"is", "are", "was", "were", "the", "single", "best", "correct", "final", "to", "be", "of", "my", "our", "one", "answer", "option", "choice", "key", "given", "therefore", "thus", "so", "then", "must", "would", "will"})
+DENIALS = frozenset({"not", "wrong", "incorrect", "false", "never", "unlikely", "impossible", "mistake", "except", "cannot", "cant", "isnt", "wasnt", "no"})
+LEADING_DENIALS = frozenset({"not", "never", "no"})
+EITHER = frozenset({"or", "alternatively", "maybe", "perhaps"})
 CUE_REACH, AFTER_KEY, QUALIFIER, TAIL = 8, 4, 3, 40
 
 

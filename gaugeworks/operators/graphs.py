@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.sources.folders import Steps
 
-def distances(links: DataFrame, source: int, most: int = 25) -> DataFrame:
-    """(node, distance) of nodes reached from source over links(a, b), both ways listed. Each round joins the frontier only."""
-    spark = links.sparkSession
-    links = links.persist()
-    seen = spark.createDataFrame([(source, 0)], "node int, distance int")
-    front = seen
-    for d in range(1, most + 1):
+
+def distances(links: DataFrame, source: int) -> DataFrame:
+    """(node, distance) of all nodes reached from source over links(a, b), both ways listed. Each round joins the frontier only and is written to the shared folder."""
+    steps = Steps(links.sparkSession, "distances")
+    links = steps.save(links, "links")
+    seen = front = steps.save(links.sparkSession.createDataFrame([(source, 0)], "node int, distance int"), "0")
+    d = 0
+    while front.limit(1).count():
+        d += 1
         step = front.join(links, front["node"] == links["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = step.select("node", F.lit(d).alias("distance")).persist()
-        if not front.limit(1).count():
-            break
+        front = steps.save(step.select("node", F.lit(d).alias("distance")), str(d))
         seen = seen.unionByName(front)
     return seen
 

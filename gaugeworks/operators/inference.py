@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import scalars as S
 
 
+#: Bounds of a Poisson(1) draw as hexadecimal 32-bit numbers: a uniform number stands for as many draws as there are bounds that it reaches.
+POISSON = tuple(f"{round(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))):08x}" for k in range(9))
+
+
+def poisson_draws(u: Column) -> Column:
+    """Draws from eight hexadecimal digits."""
+    return sum(((u >= bound).cast("int") for bound in POISSON[1:]), (u >= POISSON[0]).cast("int"))
+
+
 def cluster_bootstrap(clusters: DataFrame, group: str, cluster: str, top: str, bottom: str, replicates: int, seed: str) -> DataFrame:
     """Percentile interval of sum(top) / sum(bottom) by group, clusters drawn with replacement.
 
-    clusters has one row per cluster of a group. Each replicate's draw j is an md5 of seed, group, replicate and j, so a lost task draws the same again.
-    Clusters are numbered within their group, and draws meet them by an equi join on group and number. Groups with one cluster get no interval.
+    clusters has one row per cluster of a group. How often a replicate draws a cluster is a Poisson(1) number, by an md5 of seed, group, cluster and replicate: a cluster
+    needs to know nothing of the others, so one pass with partial sums of a fixed number per group does, and a lost task draws the same again. A replicate that draws
+    none has no mean. Groups with one cluster get no interval.
     """
-    order = Window.partitionBy(group).orderBy(cluster)
-    numbered = clusters.select(group, (F.row_number().over(order) - 1).cast("long").alias("i"), F.col(top).alias("_t"), F.col(bottom).alias("_b"))
-    sizes = clusters.groupBy(group).agg(F.count("*").alias("m"), F.round(S.ratio(F.sum(top), F.sum(bottom)), 9).alias("estimate"))
-    slots = sizes.where("m >= 2").select(group, "m", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
-    slots = slots.select(group, "m", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("j"))
-    draws = slots.select(group, "r", S.hash_draw(F.col("m"), F.lit(seed), F.col(group), F.col("r"), F.col("j")).alias("i"))
-    means = draws.join(numbered, [group, "i"]).groupBy(group, "r").agg(S.ratio(F.sum("_t"), F.sum("_b")).alias("mean"))
+    digits = F.md5(F.concat_ws(":", F.lit(seed), F.col(group), F.col(cluster), F.col("q")))
+    four = F.array(*[F.struct((F.col("q") * 4 + k).alias("r"), F.substring(digits, 1 + 8 * k, 8).alias("u")) for k in range(4)])
+    each = clusters.select(group, cluster, F.col(top).alias("_t"), F.col(bottom).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1))).alias("q"))
+    drawn = each.select(group, "_t", "_b", F.explode(four).alias("d")).select(group, "_t", "_b", "d.r", poisson_draws(F.col("d.u")).alias("w")).where((F.col("w") > 0) & (F.col("r") < replicates))
+    means = drawn.groupBy(group, "r").agg(S.ratio(F.sum(F.col("w") * F.col("_t")), F.sum(F.col("w") * F.col("_b"))).alias("mean"))
     # One value per replicate: a fixed number per group.
     ranked = means.groupBy(group).agg(F.sort_array(F.collect_list("mean")).alias("means"))
-    at = lambda q: F.get("means", F.lit(min(replicates - 1, int(q * replicates))))
+    at = lambda q: F.get("means", F.least(F.size("means") - 1, F.floor(q * F.size("means")).cast("int")))
     bounds = ranked.select(group, F.round(at(0.025), 9).alias("low"), F.round(at(0.975), 9).alias("high"))
-    return sizes.withColumnRenamed("m", "n_clusters").join(bounds, group, "left")
+    sizes = clusters.groupBy(group).agg(F.count("*").alias("n_clusters"), F.round(S.ratio(F.sum(top), F.sum(bottom)), 9).alias("estimate"))
+    several = lambda c: F.when(F.col("n_clusters") >= 2, F.col(c)).alias(c)
+    return sizes.join(bounds, group, "left").select(group, "n_clusters", "estimate", several("low"), several("high"))
 
 
 def paired(rows: DataFrame, by: list[str], unit: str, a: Column, b: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from gaugeworks.plans import (  # noqa: F401
     sampling_queries,
     scoring_queries,
     study_queries,
+    synthetic_queries,
     text_queries,
     vector_queries,
 )

@@ -119,12 +119,12 @@ def cross_period_sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("p", F.round(S.mcnemar(F.col("n_up"), F.col("n_down")), 9))
 
 
-_BOOT_SQL = """WITH clusters AS ({clusters}), numbered AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY c) - 1 AS i, count(*) OVER (PARTITION BY g) AS m FROM clusters),
+_BOOT_SQL = """WITH clusters AS ({clusters}),
 sizes AS (SELECT g, count(*)::bigint AS n_clusters, round(sum(t)::double / sum(b), 9) AS estimate FROM clusters GROUP BY g),
-slots AS (SELECT g, n_clusters AS m, r.r, j.j FROM sizes, range(0, 200) r(r), LATERAL (SELECT unnest(range(0, n_clusters)) AS j) j WHERE n_clusters >= 2),
-draws AS (SELECT g, r, (('0x' || substr(md5(concat_ws(':', '{seed}', g, r, j)), 1, 8))::bigint) % m AS i FROM slots),
-means AS (SELECT d.g, r, sum(t)::double / sum(b) AS mean FROM draws d JOIN numbered n ON d.g = n.g AND d.i = n.i GROUP BY ALL),
-bounds AS (SELECT g, round(list_sort(list(mean))[6], 9) AS low, round(list_sort(list(mean))[196], 9) AS high FROM means GROUP BY g)"""
+drawn AS (SELECT g, t, b, q * 4 + k AS r, substr(md5(concat_ws(':', '{seed}', g, c, q)), (1 + 8 * k)::int, 8) AS u FROM clusters, range(0, 50) x(q), range(0, 4) y(k)),
+means AS (SELECT g, r, sum(w * t)::double / nullif(sum(w * b), 0) AS mean FROM (SELECT *, """ + " + ".join(f"(u >= '{x}')::int" for x in inference.POISSON) + """ AS w FROM drawn) WHERE w > 0 GROUP BY ALL),
+sorted AS (SELECT g, list_sort(list(mean)) AS v FROM means JOIN sizes USING (g) WHERE n_clusters >= 2 AND mean IS NOT NULL GROUP BY g),
+bounds AS (SELECT g, round(v[floor(0.025 * len(v))::int + 1], 9) AS low, round(v[least(len(v) - 1, floor(0.975 * len(v))::int) + 1], 9) AS high FROM sorted)"""
 
 
 @query(
@@ -142,13 +142,12 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DIFF_CLUSTERS = """SELECT n_regionkey AS g, o_custkey AS c, avg((o_totalprice > 150000)::int) FILTER (WHERE o_orderkey % 2 = 1) - avg((o_totalprice > 150000)::int) FILTER (WHERE o_orderkey % 2 = 0) AS t, 1 AS b
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_custkey % 4 = 0 GROUP BY ALL HAVING t IS NOT NULL"""
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL HAVING t IS NOT NULL"""
 
 
 def _difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd, high = F.col("o_orderkey") % 2 == 1, (F.col("o_totalprice") > 150000).cast("int")
     d = F.avg(F.when(odd, high)) - F.avg(F.when(~odd, high))
-    # All customers; the oracles' SQL still takes a quarter of them.
     rows = _arms(spark, sf_dir).withColumnRenamed("n_regionkey", "region")
     clusters = rows.groupBy("region", "o_custkey").agg(d.alias("t"), F.lit(1).alias("b")).where("t IS NOT NULL")
     return inference.cluster_bootstrap(clusters, "region", "o_custkey", "t", "b", 200, "diff")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def factor_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "bfs_distances",
     """WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS a, (s_suppkey % 25)::int AS b FROM supplier WHERE s_nationkey <> s_suppkey % 25), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT 0 AS node, 0 AS d UNION SELECT u.b, r.d + 1 FROM r JOIN u ON r.node = u.a WHERE r.d < 25)
+r AS (SELECT 0 AS node, 0 AS d UNION SELECT u.b, r.d + 1 FROM r JOIN u ON r.node = u.a WHERE r.d < (SELECT count(*) FROM nation))
 SELECT node, min(d) AS distance FROM r GROUP BY node""",
 )
 def bfs_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,18 +82,20 @@ def structural_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("greedy_pair_match")
 def greedy_pair_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a brand paired by equal size but other type, each used once. Greedy in order of id within (brand, size), which bounds what a task holds."""
+    """Parts of a brand paired by equal size but other type, each used once: in order of id, each with the first that waits and has another type.
+
+    Those that wait are of one type, as any other would have been paired with them; so a look at the first of them does."""
     import pandas as pd
 
     def match(parts: pd.DataFrame) -> pd.DataFrame:
-        waiting, pairs = [], []
-        for row in parts.sort_values("p_partkey").itertuples():
-            at = next((i for i, other in enumerate(waiting) if other.p_type != row.p_type), None)
-            if at is None:
-                waiting.append(row)
+        parts = parts.sort_values("p_partkey")
+        waiting, pairs = deque(), []
+        for key, kind in zip(parts["p_partkey"], parts["p_type"], strict=True):
+            if waiting and waiting[0][1] != kind:
+                pairs.append((waiting.popleft()[0], key))
             else:
-                pairs.append((row.p_brand, waiting.pop(at).p_partkey, row.p_partkey))
-        return pd.DataFrame(pairs, columns=["p_brand", "a", "b"])
+                waiting.append((key, kind))
+        return pd.DataFrame([(parts["p_brand"].iloc[0], a, b) for a, b in pairs], columns=["p_brand", "a", "b"])
 
     parts = load(spark, sf_dir, "part").select("p_brand", "p_size", "p_type", "p_partkey")
     return parts.groupBy("p_brand", "p_size").applyInPandas(match, "p_brand string, a bigint, b bigint")
@@ -119,3 +123,14 @@ def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's reservations kept as the state of a stream."""
     return ledgers.budgets(spark, f"{sf_dir}/events.parquet", 3000.0).select("user_id", "n", F.round("reserved", 4).alias("reserved"), "exhausted")
+
+
+@query(
+    "stream_budget_ledger",
+    """SELECT user_id AS owner, count_if(event_type <> 'click')::bigint AS n_requests, 0::bigint AS n_denied, count_if(event_type = 'error')::bigint AS n_unknown, count_if(event_type = 'signup')::bigint AS n_open,
+  round(coalesce(sum(CASE event_type WHEN 'view' THEN value * 0.8 WHEN 'purchase' THEN value END), 0), 4) AS billed, round(coalesce(sum(value) FILTER (WHERE event_type IN ('error', 'signup')), 0), 4) AS reserved FROM events GROUP BY user_id""",
+)
+def stream_budget_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reservations, releases and reconciliations of each user as the state of a stream; what is unknown stays held."""
+    rows = ledgers.event_budgets(spark, f"{sf_dir}/events.parquet")
+    return rows.withColumns({"billed": F.round("billed", 4), "reserved": F.round("reserved", 4)})

@@ -8,10 +8,12 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
+from gaugeworks.sources.folders import Steps
+
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines by a declared schema; blank lines are skipped, a bad line or a missing file is an error."""
@@ -30,30 +32,38 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def append_new(rows: DataFrame, path: str, keys: list[str]) -> tuple[int, int]:
-    """Append rows whose key is new to the ledger; (appended, refused). Of repeats among the rows one is taken."""
+def append_new(rows: DataFrame, path: str, keys: list[str], order: str | None = None) -> tuple[int, int]:
+    """Append rows whose key is new to the ledger; (appended, refused). Of repeats among the rows the first is taken: by the column ``order``, or as they are read."""
     spark = rows.sparkSession
-    once = rows.dropDuplicates(keys)
-    new = once.join(spark.read.parquet(path).select(*keys), keys, "left_anti") if _exists(spark, path) else once
-    new = new.persist()
-    n = new.count()
-    new.write.mode("append").parquet(path)
-    new.unpersist()
+    numbered = rows.withColumn("__at", F.monotonically_increasing_id())
+    first = Window.partitionBy(*keys).orderBy(*([F.col(order)] if order else []), "__at")
+    once = numbered.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__at", "__rank")
+    new = once.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti") if _exists(spark, path) else once
+    # Written aside first, so that what is counted is what is appended.
+    staged = Steps(spark, "append").save(new.select(*rows.columns), "rows")
+    n = staged.count()
+    staged.write.mode("append").parquet(path)
     return n, rows.count() - n
 
 
 def write_once(rows: DataFrame, path: str) -> int:
-    """Write (key, content) once: the same again is nothing new, other content under a known key is an error. Returns how many were written."""
+    """Write (key, content) once: the same again is nothing new; other content under a known key, or two contents under one key, are an error, and nothing is written.
+    Returns how many were written."""
     spark = rows.sparkSession
-    hashed = rows.withColumn("sha256", F.sha2("content", 256))
+    hashed = rows.select("key", "content", F.sha2("content", 256).alias("sha256"))
+    once = hashed.groupBy("key").agg(F.min_by("content", "sha256").alias("content"), F.min("sha256").alias("sha256"), F.max("sha256").alias("__other"))
     if _exists(spark, path):
-        known = spark.read.parquet(path).select("key", F.col("sha256").alias("known"))
-        met = hashed.join(known, "key", "left").persist()
-        if met.where("known IS NOT NULL AND known <> sha256").limit(1).count():
-            raise ValueError(f"content differs from what {path} holds")
-        hashed = met.where("known IS NULL").drop("known")
-    n = hashed.count()
-    hashed.write.mode("append").parquet(path)
+        once = once.join(spark.read.parquet(path).select("key", F.col("sha256").alias("__known")).distinct(), "key", "left")
+    else:
+        once = once.withColumn("__known", F.lit(None).cast("string"))
+    met = Steps(spark, "write-once").save(once, "rows")
+    if met.where("sha256 <> __other").limit(1).count():
+        raise ValueError("one key comes with two contents")
+    if met.where("__known <> sha256").limit(1).count():
+        raise ValueError(f"content differs from what {path} holds")
+    new = met.where("__known IS NULL").select("key", "content", "sha256")
+    n = new.count()
+    new.write.mode("append").parquet(path)
     return n
 
 
@@ -131,3 +141,13 @@ def replayed(asked: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests with the stored response of their hash, where there is one."""
     hashed = asked.withColumn("request_sha256", F.sha2("request", 256))
     return hashed.join(cache, "request_sha256", "left").withColumn("replayed", F.col("response").isNotNull())
+
+
+def derived_set(tables: dict[str, DataFrame], run: str) -> dict[str, DataFrame]:
+    """The derived tables of a run, each written once under run/derived and read back; a run that has one already is an error and keeps it."""
+    found = {}
+    for name, rows in tables.items():
+        path = f"{run}/derived/{name}"
+        rows.write.mode("error").parquet(path)
+        found[name] = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return found

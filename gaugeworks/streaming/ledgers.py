@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaugeworks.sources.folders import shared_folder
 
@@ -59,3 +62,72 @@ def budgets(spark: SparkSession, path: str, most: float) -> DataFrame:
     """user_id, n, reserved, exhausted: running reservations as the stream's state."""
     held = _events(spark, path).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("reserved"))
     return _settled(held.withColumn("exhausted", F.col("reserved") > most), "complete", "budgets")
+
+
+BUDGET = "owner bigint, n_requests bigint, n_denied bigint, n_unknown bigint, n_open bigint, billed double, reserved double"
+_BUDGET_STATE = "n_requests bigint, n_denied bigint, n_unknown bigint, billed double, reserved double, tickets array<bigint>, amounts array<double>"
+
+
+def settled(owner: tuple, chunks: Iterator[pd.DataFrame], state: GroupState, most: float, most_requests: int | None) -> Iterator[pd.DataFrame]:
+    """An owner's operations (seq, op, ticket, amount) in order of seq, upon what the state holds of earlier batches.
+
+    A reservation is refused if what is billed and reserved would pass ``most`` with it, or requests their number. Release undoes an open one. Reconcile puts the
+    reported amount in its place; without a report the estimate stays reserved for ever. Operations on tickets that aren't open change nothing."""
+    n, denied, unknown, billed, reserved, tickets, amounts = state.get if state.exists else (0, 0, 0, 0.0, 0.0, [], [])
+    held = dict(zip(tickets, amounts, strict=True))
+    for op, ticket, amount in pd.concat(list(chunks)).sort_values("seq", kind="stable")[["op", "ticket", "amount"]].itertuples(index=False):
+        if op == "reserve":
+            if ticket in held or billed + reserved + amount > most or most_requests is not None and n + 1 > most_requests:
+                denied += 1
+                continue
+            held[ticket] = amount
+            n, reserved = n + 1, reserved + amount
+        elif ticket in held:
+            estimate = held.pop(ticket)
+            if op == "release":
+                n, reserved = n - 1, max(0.0, reserved - estimate)
+            elif pd.isna(amount):
+                unknown += 1
+            else:
+                billed, reserved = billed + amount, max(0.0, reserved - estimate)
+    state.update((n, denied, unknown, billed, reserved, list(held), list(held.values())))
+    yield pd.DataFrame([(owner[0], n, denied, unknown, len(held), billed, reserved)], columns=["owner", "n_requests", "n_denied", "n_unknown", "n_open", "billed", "reserved"])
+
+
+def budget_ledger(ops: DataFrame, most: float = float("inf"), most_requests: int | None = None, root: str | None = None) -> DataFrame:
+    """Budgets by owner from a stream of ops(owner, seq, op, ticket, amount), run until what is there has been read.
+
+    What is held is the stream's state, in the checkpoint under root: a run over the same root goes on where the last one ended. An owner's operations must
+    come in batches in order of seq; within a batch they are sorted."""
+    spark = ops.sparkSession
+    root = root or f"{shared_folder(spark)}/streams/budget-{uuid.uuid4().hex}"
+    ops = ops.select("owner", "seq", "op", "ticket", "amount")
+    rows = ops.groupBy("owner").applyInPandasWithState(lambda k, c, s: settled(k, c, s, most, most_requests), BUDGET, _BUDGET_STATE, "update", GroupStateTimeout.NoTimeout)
+
+    def write(batch: DataFrame, n: int) -> None:
+        # A batch that is run again overwrites its own rows.
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={n}")
+
+    q = rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    each = spark.read.schema(f"{BUDGET}, batch int").option("basePath", f"{root}/rows").parquet(f"{root}/rows")
+    last = [F.max_by(c, "batch").alias(c) for c in each.columns if c not in ("owner", "batch")]
+    return each.groupBy("owner").agg(*last)
+
+
+def budget_operations(events: DataFrame) -> DataFrame:
+    """Events as operations: each reserves its value; views and purchases report four fifths and all of it, errors report nothing, clicks are released, the rest stay open."""
+    value, kind = F.col("value"), F.col("event_type")
+    then = F.when(kind == "view", F.struct(F.lit("reconcile").alias("op"), (value * 0.8).alias("amount"))).when(
+        kind == "purchase", F.struct(F.lit("reconcile").alias("op"), value.alias("amount"))
+    ).when(kind == "error", F.struct(F.lit("reconcile").alias("op"), F.lit(None).cast("double").alias("amount"))).when(
+        kind == "click", F.struct(F.lit("release").alias("op"), F.lit(None).cast("double").alias("amount"))
+    )
+    both = F.filter(F.array(F.struct(F.lit("reserve").alias("op"), value.alias("amount")), then), lambda x: x.isNotNull())
+    each = events.select(F.col("user_id").alias("owner"), F.col("event_id").alias("ticket"), F.posexplode(both).alias("k", "x"))
+    return each.select("owner", (F.col("ticket") * 2 + F.col("k")).alias("seq"), "x.op", "ticket", "x.amount")
+
+
+def event_budgets(spark: SparkSession, path: str) -> DataFrame:
+    """Budgets of users over the events."""
+    return budget_ledger(budget_operations(_events(spark, path)))

@@ -34,7 +34,11 @@ def test_append_refuses_known_keys(spark, tmp_path):
     assert files.append_new(first, sink, ["id"]) == (2, 1)
     again = spark.createDataFrame([("b", 9), ("c", 4)], "id string, n int")
     assert files.append_new(again, sink, ["id"]) == (1, 1)
-    assert sorted((r["id"]) for r in spark.read.parquet(sink).collect()) == ["a", "b", "c"]
+    # The first of repeats stays.
+    assert sorted(tuple(r) for r in spark.read.parquet(sink).collect()) == [("a", 1), ("b", 2), ("c", 4)]
+    later = spark.createDataFrame([("d", 9), ("d", 3), ("d", 5)], "id string, n int")
+    assert files.append_new(later, sink, ["id"], order="n") == (1, 2)
+    assert spark.read.parquet(sink).where("id = 'd'").first()["n"] == 3
 
 
 def test_write_once(spark, tmp_path):
@@ -44,6 +48,10 @@ def test_write_once(spark, tmp_path):
     assert files.write_once(rows, sink) == 0
     with pytest.raises(ValueError, match="differs"):
         files.write_once(spark.createDataFrame([("k", "other")], "key string, content string"), sink)
+    with pytest.raises(ValueError, match="two contents"):
+        files.write_once(spark.createDataFrame([("m", "v"), ("m", "w")], "key string, content string"), sink)
+    assert files.write_once(spark.createDataFrame([("m", "v"), ("m", "v"), ("k", "v")], "key string, content string"), sink) == 1
+    assert sorted((r["key"], r["content"]) for r in spark.read.parquet(sink).collect()) == [("k", "v"), ("m", "v")]
 
 
 def test_csv_and_documents(spark, tmp_path):
@@ -85,3 +93,38 @@ def test_replay(spark):
     asked = spark.createDataFrame([("q1",), ("q2",)], "request string")
     cache = spark.createDataFrame([(hashlib.sha256(b"q1").hexdigest(), "r1")], "request_sha256 string, response string")
     assert {r["request"]: (r["response"], r["replayed"]) for r in files.replayed(asked, cache).collect()} == {"q1": ("r1", True), "q2": (None, False)}
+
+
+def test_derived_tables_of_a_run(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "n int, s string")
+    found = files.derived_set({"items": rows, "results": rows.where("false"), "attempts": rows}, f"{tmp_path}/run")
+    assert {k: v.count() for k, v in found.items()} == {"items": 1, "results": 0, "attempts": 1}
+    with pytest.raises(Exception, match="exist"):
+        files.derived_set({"items": rows}, f"{tmp_path}/run")
+
+
+def test_scores_of_pages(spark):
+    from gaugeworks.sources import pages
+
+    body = lambda **f: [0, {k: [0, v] for k, v in f.items()}]
+    table = lambda models: '"overall":[0,' + json.dumps(models, separators=(",", ":")) + "]"
+    plain = table({"x/y-1": body(accuracy=0.5, latency=None), "no slug": body(accuracy=1.0)})
+    named = table({"a/B.c": body(accuracy=61.25, stderr=1, provider="a", cost_per_test="free")}) + ',"updated":[0,"2025-01-02"]'
+    rows = [(1, f"<p>{plain}</p>"), (2, f"{plain} {named} {plain}"), (3, '"overall":[0,{broken'), (4, None), (5, "")]
+    found = sorted(tuple(r) for r in pages.scores(spark.createDataFrame(rows, "page_id bigint, html string")).collect())
+    assert found == [(1, "x/y-1", 0.5, None, None, None, None, None), (2, "a/B.c", 61.25, 1.0, None, None, "a", "2025-01-02")]
+
+
+def test_structures_in_text(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeworks.functions import parsing
+
+    text = F.col("t")
+    rows = spark.createDataFrame([("a knows b, b knows c\nName: x y\n name : 2\nName: z: 1\non 2001-02-03 and 2001-01-30, 12001-01-01",), ("",), (None,)], "t string")
+    found = rows.select(parsing.edges(text, " knows ").alias("e"), parsing.registry(text).alias("r"), parsing.dates(text).alias("d")).collect()
+    assert [tuple(x) for x in found[0]["e"]] == [("a", "b"), ("b", "c")]
+    assert found[0]["r"] == {"Name": "z: 1", "name": "2"}
+    assert found[0]["d"] == [2001 * 360 + 63, 2001 * 360 + 60]
+    assert (found[1]["e"], found[1]["r"], found[1]["d"]) == ([], {}, [])
+    assert tuple(found[2]) == (None, None, None)

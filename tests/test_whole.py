@@ -1,10 +1,10 @@
-"""Queries over whole tables, against brute force on small ones; the registered SQL of some takes a part only."""
+"""Queries over whole tables, against brute force on small ones."""
 
 import hashlib
+import math
 import random
+import unicodedata
 
-import numpy as np
-import pandas as pd
 import pytest
 
 from gaugeworks.plans.catalog import QUERIES
@@ -22,13 +22,21 @@ def tables(spark, tmp_path):
     return make
 
 
-def drawn(seed, g, r, m):
-    return [int(hashlib.md5(f"{seed}:{g}:{r}:{j}".encode()).hexdigest()[:8], 16) % m for j in range(m)]
+def draws(seed, g, c, r):
+    """How often replicate r draws cluster c: the number of cumulative Poisson(1) chances that a uniform number reaches."""
+    u = int(hashlib.md5(f"{seed}:{g}:{c}:{r // 4}".encode()).hexdigest()[8 * (r % 4) :][:8], 16) / 2**32
+    n, below = 0, math.exp(-1)
+    while u >= below and n < 9:
+        n += 1
+        below += math.exp(-1) / math.factorial(n)
+    return n
 
 
 def interval(values, g):
-    means = sorted(sum(values[i] for i in drawn("diff", g, r, len(values))) / len(values) for r in range(200))
-    return means[5], means[195]
+    """values: by cluster."""
+    weights = [{c: draws("diff", g, c, r) for c in values} for r in range(200)]
+    means = sorted(sum(w[c] * values[c] for c in values) / sum(w.values()) for w in weights if any(w.values()))
+    return means[int(0.025 * len(means))], means[min(len(means) - 1, int(0.975 * len(means)))]
 
 
 def test_paired_bootstrap_takes_all_customers(spark, tables):
@@ -41,12 +49,12 @@ def test_paired_bootstrap_takes_all_customers(spark, tables):
     )
     expected = {}
     for g in (0, 1):
-        values = []
+        values = {}
         for c in range(1, 31):
             arms = [[p > 150000 for k, x, p in orders if x == c and k % 2 == odd] for odd in (1, 0)]
             if c % 2 == g and all(arms):
-                values.append(sum(arms[0]) / len(arms[0]) - sum(arms[1]) / len(arms[1]))
-        expected[g] = (len(values), sum(values) / len(values), *interval(values, g))
+                values[c] = sum(arms[0]) / len(arms[0]) - sum(arms[1]) / len(arms[1])
+        expected[g] = (len(values), sum(values.values()) / len(values), *interval(values, g))
     found = {r["region"]: (r["n_clusters"], r["estimate"], r["low"], r["high"]) for r in QUERIES["paired_bootstrap"](spark, sf).collect()}
     assert found.keys() == expected.keys()
     for g in expected:
@@ -57,32 +65,6 @@ def test_paired_bootstrap_takes_all_customers(spark, tables):
     assert (both["low"], both["high"]) == pytest.approx((max(x[2] for x in expected.values()), min(x[3] for x in expected.values())), abs=2e-9)
 
 
-def test_descent_finds_neighbours_in_more_clusters_than_seeds(spark):
-    nn_descent = pytest.importorskip("gaugeworks.llm.nn_descent")
-    rng = np.random.default_rng(8)
-    clusters, each = 600, 36
-    v = np.repeat(100 * rng.standard_normal((clusters, 16)), each, axis=0) + rng.standard_normal((clusters * each, 16))
-    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}))
-    found = nn_descent.report(spark, table, every=240).collect()
-    hits = 0
-    queries = range(0, len(v), 240)
-    for q in queries:
-        d = ((v - v[q]) ** 2).sum(axis=1)
-        d[q] = np.inf
-        hits += len(set(np.argsort(d)[:10].tolist()) & {r["vec_id"] for r in found if r["query_id"] == q})
-    assert hits >= 0.97 * 10 * len(queries)
-
-
-def test_one_or_two_long_lines_are_deleted(spark):
-    line_dedup = pytest.importorskip("gaugeworks.llm.line_dedup")
-    one, half, other = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 51), ("b", 30), ("c", 30)))
-    short = " ".join(f"d{i}" for i in range(50))
-    texts = [f"{one}\n\n{half}\n{other}\n{short}", f"x\n{one.upper()}", f"{half}\n\n{other}", f"{half}\nx", short, one]
-    rows = line_dedup.dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
-    assert [r["text"] for r in rows] == [texts[0], "x", "", f"{half}\nx", short, ""]
-    assert [r["_gone"] for r in rows] == [[], [1], [0, 2], [], [], [0]]
-
-
 def test_questions_of_all_sources(spark, tables):
     sf = tables(documents=([(1, "a", "src1"), (2, "b", "src2")], "doc_id bigint, text string, source string"), labels=([(2, 1)], "doc_id bigint, quality int"))
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
@@ -90,18 +72,6 @@ def test_questions_of_all_sources(spark, tables):
     assert found == {(md5("1"), md5("a"), None), (md5("2"), md5("b"), None), (md5("2"), None, 1)}
 
 
-def test_passages_in_short_lines_are_removed(spark):
-    substring_dedup = pytest.importorskip("gaugeworks.llm.substring_dedup")
-    lines = [" ".join(f"w{k}x{i}" for i in range(8)) for k in range(9)]
-    passage, part = "\n".join(lines), "\n".join(lines[:6])
-    texts = [f"begin\n{passage}\nend", f"other\n{passage.upper()}\n\nlast", f"{part}\nx"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    done = substring_dedup.dedup(spark, rows).orderBy("doc_id").collect()
-    assert [r["text"] for r in done] == [texts[0], "other\n\nlast", texts[2]]
-    found = sorted((r["doc_id"], r["unit"], r["keep_doc_id"], r["keep_unit"]) for r in substring_dedup.report(spark, rows).collect())
-    assert found == [(1, k, 0, k) for k in range(1, 10)]
-
-
 def test_sign_flip_of_many_blocks(spark):
     inference = pytest.importorskip("gaugeworks.operators.inference")
     rows = [("a", k, 1.0) for k in range(14)] + [("b", k, 1.0) for k in range(21)]
@@ -115,3 +85,110 @@ def test_leaks_are_whole_items(spark, tables):
     sf = tables(documents=(docs, "doc_id bigint, text string"), benchmark=([(1, long), (2, "few words"), (3, "not there")], "item_id bigint, text string"))
     found = {tuple(r) for r in QUERIES["leakage_predicate"](spark, sf).collect()}
     assert found == {(1, 1, 1), (2, 1, 3), (3, 0, None)}
+
+
+def test_a_bootstrap_of_few_clusters(spark):
+    from gaugeworks.operators import inference
+
+    rows = [("same", k, 1, 1) for k in range(4)] + [("one", 0, 1, 2)]
+    found = {r["g"]: tuple(r)[1:] for r in inference.cluster_bootstrap(spark.createDataFrame(rows, "g string, c int, t int, b int"), "g", "c", "t", "b", 200, "x").collect()}
+    assert found == {"same": (4, 1.0, 1.0, 1.0), "one": (1, 0.5, None, None)}
+
+
+def test_distances_end_where_the_graph_does(spark):
+    from gaugeworks.operators import graphs
+
+    line = [(i, i + 1) for i in range(40)]
+    links = spark.createDataFrame(line + [(b, a) for a, b in line] + [(90, 91)], "a int, b int")
+    assert {tuple(r) for r in graphs.distances(links, 0).collect()} == {(i, i) for i in range(41)}
+
+
+def test_signatures_don_t_depend_on_names(spark):
+    from gaugeworks.operators import graphs
+
+    rng = random.Random(3)
+    links = {(a, b) for a, b in ((rng.randrange(12), rng.randrange(12)) for _ in range(20)) if a != b}
+    links |= {(b, a) for a, b in links}
+    labels = {a: hashlib.md5(str(sum(x == a for x, _ in links)).encode()).hexdigest() for a, _ in links}
+    for _ in range(3):
+        labels = {a: hashlib.md5(f"{labels[a]}|{','.join(sorted(labels[y] for x, y in links if x == a))}".encode()).hexdigest() for a in labels}
+    found = {r["node"]: r["signature"] for r in graphs.refined(spark.createDataFrame(sorted(links), "a int, b int"), 3).collect()}
+    assert found == labels
+    renamed = spark.createDataFrame([(a * 7 % 12 + 50, b * 7 % 12 + 50) for a, b in sorted(links)], "a int, b int")
+    assert sorted(r["signature"] for r in graphs.refined(renamed, 3).collect()) == sorted(labels.values())
+
+
+def test_parts_are_paired_greedily(spark, tables):
+    rng = random.Random(4)
+    parts = [(k, f"b{rng.randrange(2)}", rng.randrange(2), rng.choice("xyz")) for k in range(120)]
+    expected = set()
+    for brand, size in {(b, z) for _, b, z, _ in parts}:
+        waiting = []
+        for k, kind in sorted((k, t) for k, b, z, t in parts if (b, z) == (brand, size)):
+            at = next((i for i, (_, other) in enumerate(waiting) if other != kind), None)
+            if at is None:
+                waiting.append((k, kind))
+            else:
+                expected.add((brand, waiting.pop(at)[0], k))
+    sf = tables(part=(parts, "p_partkey bigint, p_brand string, p_size int, p_type string"))
+    assert {tuple(r) for r in QUERIES["greedy_pair_match"](spark, sf).collect()} == expected
+
+
+def test_texts_that_composing_changes(spark, tables):
+    texts = ["plain", "e\u0301", "\u00e9", None, "\u1100\u1161", "A\u030a b"]
+    sf = tables(documents=([(k, t, "en" if k % 2 else "fr") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string"))
+    expected = {(x, 3, sum(t is not None and unicodedata.normalize("NFC", t) != t for k, t in enumerate(texts) if ("en" if k % 2 else "fr") == x)) for x in ("en", "fr")}
+    assert {tuple(r) for r in QUERIES["nfc_variants"](spark, sf).collect()} == expected
+
+
+def test_words_that_may_be_offered(spark, tables):
+    rng = random.Random(5)
+    words = ["the", "of", "aaa", "abab", "ababab", "xabcabcabc", "b\u0007d", "Good", "good", "ok", *("".join(rng.choices("ab", k=rng.randint(1, 9))) for _ in range(400))]
+    sf = tables(documents=([(0, " ".join(words[:200])), (1, "\n".join(words[200:]))], "doc_id bigint, text string"))
+    freq = {}
+    for w in words:
+        freq[w.lower()] = freq.get(w.lower(), 0) + 1
+    again = lambda w: any(w[-n:] == w[-2 * n : -n] == w[-3 * n : -2 * n] for n in range(1, len(w) // 3 + 1))
+    fit = {w: n for w, n in freq.items() if w not in ("the", "of", "and") and not again(w) and all(unicodedata.category(c) != "Cc" for c in w)}
+    expected = sorted(fit.items(), key=lambda x: (-x[1], x[0]))[:254]
+    assert [tuple(r) for r in QUERIES["candidate_filter"](spark, sf).collect()] == expected
+
+
+def test_budgets_go_on_from_batch_to_batch(spark, tmp_path):
+    from gaugeworks.streaming import ledgers
+
+    rng = random.Random(6)
+    ops, seq = [], 0
+    for _ in range(300):
+        owner, ticket = rng.randrange(3), rng.randrange(60)
+        op = rng.choices(["reserve", "reconcile", "release"], [5, 4, 1])[0]
+        amount = float(rng.randrange(1, 40)) if op == "reserve" or op == "reconcile" and rng.random() < 0.8 else None
+        ops.append((owner, seq, op, ticket, amount))
+        seq += 1
+    expected = {}
+    for owner in range(3):
+        n = denied = unknown = 0
+        billed = reserved = 0.0
+        held = {}
+        for _, _, op, ticket, amount in (o for o in ops if o[0] == owner):
+            if op == "reserve":
+                if ticket in held or billed + reserved + amount > 300 or n + 1 > 25:
+                    denied += 1
+                else:
+                    held[ticket], n, reserved = amount, n + 1, reserved + amount
+            elif ticket in held:
+                was = held.pop(ticket)
+                if op == "release":
+                    n, reserved = n - 1, reserved - was
+                elif amount is None:
+                    unknown += 1
+                else:
+                    billed, reserved = billed + amount, reserved - was
+        expected[owner] = (n, denied, unknown, len(held), billed, reserved)
+    schema = "owner bigint, seq bigint, op string, ticket bigint, amount double"
+    for k in (0, 150):
+        spark.createDataFrame(ops[k : k + 150], schema).repartition(1).write.mode("append").parquet(f"{tmp_path}/ops")
+        # The second run finds what the first has left.
+        found = ledgers.budget_ledger(spark.readStream.schema(schema).parquet(f"{tmp_path}/ops"), 300.0, 25, f"{tmp_path}/run")
+    assert {r["owner"]: tuple(r)[1:] for r in found.collect()} == expected
+    assert sum(x[1] for x in expected.values()) > 10 and sum(x[2] for x in expected.values()) > 0
