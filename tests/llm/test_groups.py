@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas
 import pytest
 
 from gaugeworks.llm import graph, hamming_search, minhash_dedup, nn_descent
@@ -165,3 +166,50 @@ def test_descent_recalls_most(spark):
 
 def test_no_vectors(spark):
     assert nn_descent.report(spark, spark.createDataFrame([], "vec_id bigint, embedding array<double>")).count() == 0
+
+
+def test_descent_finds_neighbours_in_more_clusters_than_seeds(spark):
+    rng = np.random.default_rng(8)
+    clusters, each = 600, 36
+    v = np.repeat(100 * rng.standard_normal((clusters, 16)), each, axis=0) + rng.standard_normal((clusters * each, 16))
+    table = spark.createDataFrame(pandas.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}))
+    found = nn_descent.report(spark, table, every=240).collect()
+    hits = 0
+    queries = range(0, len(v), 240)
+    for q in queries:
+        d = ((v - v[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & {r["vec_id"] for r in found if r["query_id"] == q})
+    assert hits >= 0.97 * 10 * len(queries)
+
+
+def test_descent_with_a_vector_far_larger_than_the_rest(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((1500, 64))
+    v[700] *= 1e9
+    table = spark.createDataFrame(pandas.DataFrame({"vec_id": np.arange(1500), "embedding": v.tolist()}))
+    found = nn_descent.report(spark, table).collect()
+    rows = list(enumerate(v))
+    hits = sum(len({i for _, i in nearest(rows, q, 10)} & {r["vec_id"] for r in found if r["query_id"] == q}) for q in range(0, 1500, 100))
+    assert hits >= 0.95 * 150
+
+
+def test_vectors_with_one_hash_stay_apart(spark):
+    rows = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (3, [3.0])], "query_id bigint, embedding array<double>")
+    graph = object.__new__(nn_descent.Graph)
+    same = graph.plain(rows).withColumn("a", nn_descent.F.lit(5).cast("long"))
+    clash = same.groupBy("a").agg(nn_descent.F.min("b").alias("low"), nn_descent.F.max("b").alias("high"))
+    graph.clash = clash.where("low <> high").select("a", "low")
+    assert graph.named(same).select("node").distinct().count() == 3
+
+
+def test_every_query_is_settled_through_the_index(spark):
+    v = vectors(900, 10)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, embedding array<double>").select("id", hamming_search.sign_code(nn_descent.F.col("embedding")).alias("code"))
+    queries = rows.where("id % 90 = 0").withColumnRenamed("id", "query_id")
+    found = hamming_search.search(spark, rows, queries, 10).groupBy("query_id").agg({"distance": "max", "radius": "max"}).collect()
+    assert len(found) == 10
+    for r in found:
+        # No query goes further than the radius that proves its tenth distance, and all end before everything has been seen.
+        assert r["max(distance)"] <= 4 * (r["max(radius)"] + 1) - 1
+        assert r["max(radius)"] <= -(-(r["max(distance)"] + 2) // 4) < 16
