@@ -125,7 +125,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(known: DataFrame, shrink: float = 0.2, ridge: float = 0.05, sharpness: float = 0.25) -> Quadratic:
-    """known(label, x) to a model. shrink: weight of the pooled covariance; ridge: of its diagonal; sharpness tempers the posterior."""
+    """known(label, x) to a model. shrink: weight of the pooled covariance; ridge: of its diagonal; sharpness tempers the posterior.
+
+    These three have the least log loss of a grid in cross-validation over the three folds that train (crc32 modulo 4 of 0, 1 and 3); held-out rows had no part in it.
+    """
     d = N_STATS
     one = F.concat(F.array(F.lit(1.0)), F.col("x"))
     pairs = F.posexplode(F.flatten(F.transform(one, lambda a: F.transform(one, lambda b: a * b))))
@@ -162,20 +165,23 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def measured(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id and statistics of every row, written to the shared folder."""
-    return Scratch(spark, "quality").save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), stats(F.col("text")).alias("x")), "stats")
+    """docs(doc_id, ...) with the statistics of each text as __gw_x, written to the shared folder, so that they are taken once."""
+    return Scratch(spark, "quality").save(docs.withColumn("__gw_x", stats(F.col("text"))), "stats")
+
+
+def learned(rows: DataFrame, labels: DataFrame) -> Quadratic:
+    return fit(labelled(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__gw_x").alias("x")), labels))
 
 
 def report(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    rows = measured(spark, docs)
-    model = fit(labelled(rows, labels))
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("x")).alias("score")).withColumn(
+    rows = Scratch(spark, "quality").save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), stats(F.col("text")).alias("__gw_x")), "stats")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), learned(rows, labels).score(F.col("__gw_x")).alias("score")).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int")
     )
 
 
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose score reaches the threshold, unchanged."""
-    model = fit(labelled(measured(spark, docs), labels))
-    return docs.where(model.score(stats(F.col("text"))) >= THRESHOLD)
+    rows = measured(spark, docs)
+    return rows.where(learned(rows, labels).score(F.col("__gw_x")) >= THRESHOLD).drop("__gw_x")

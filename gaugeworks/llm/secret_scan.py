@@ -23,10 +23,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import let, prefix_sums, text_or_empty
+from gaugeworks.llm.common import Scratch, let, prefix_sums, text_or_empty
 
 #: The base patterns and least lengths (of group 2 for assign, of the match for the others).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -171,8 +171,6 @@ def tested(df: DataFrame) -> DataFrame:
 
 def thresholds(df: DataFrame, fdr: float, uniform_alpha: float) -> dict[int, int]:
     """Least bin that is a discovery, by length class. At most 32 classes x 301 bins are counted, whatever the corpus."""
-    from pyspark.sql import Window
-
     t = F.col("s.t")
     counts = (
         df.select(F.explode("__gw_tokens").alias("s"))
@@ -186,13 +184,17 @@ def thresholds(df: DataFrame, fdr: float, uniform_alpha: float) -> dict[int, int
     return {r["c"]: r["b"] for r in fit.groupBy("c").agg(F.min("b").alias("b")).collect()}
 
 
-def scan(df: DataFrame, text_col: str = "text", fdr: float = 0.05, uniform_alpha: float = 0.001) -> DataFrame:
-    """df with _base and _spans, arrays of (start, kind, end); kind counts from 0 in KINDS."""
-    work = df.withColumn("__gw_text", text_or_empty(text_col))
-    bins = thresholds(tested(work.select("__gw_text")), fdr, uniform_alpha)
-    work = work.withColumn("_base", base_spans(F.col("__gw_text")))
+def marked(df: DataFrame, text_col: str) -> DataFrame:
+    """df with _base and the tested tokens of each text."""
+    work = tested(df.withColumn("__gw_text", text_or_empty(text_col)))
+    return work.withColumn("_base", base_spans(F.col("__gw_text"))).drop("__gw_text")
+
+
+def decided(rows: DataFrame, fdr: float, uniform_alpha: float) -> DataFrame:
+    """rows(_base, __gw_tokens) with _spans instead of the tokens."""
+    bins = thresholds(rows, fdr, uniform_alpha)
     if not bins:
-        return work.withColumn("_spans", F.col("_base")).drop("__gw_text")
+        return rows.withColumn("_spans", F.col("_base")).drop("__gw_tokens")
     least = F.create_map(*[F.lit(x) for kv in bins.items() for x in kv])
 
     def flagged(s: Column) -> Column:
@@ -201,7 +203,12 @@ def scan(df: DataFrame, text_col: str = "text", fdr: float = 0.05, uniform_alpha
         return bound.isNotNull() & (t["p_uniform"] >= uniform_alpha) & (p_bin(t["p_written"]) >= bound)
 
     random = F.transform(F.filter("__gw_tokens", flagged), lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end"))).cast(SPAN)
-    return tested(work).withColumn("_spans", F.array_sort(F.concat("_base", random))).drop("__gw_text", "__gw_tokens")
+    return rows.withColumn("_spans", F.array_sort(F.concat("_base", random))).drop("__gw_tokens")
+
+
+def scan(df: DataFrame, text_col: str = "text", fdr: float = 0.05, uniform_alpha: float = 0.001) -> DataFrame:
+    """df with _base and _spans, arrays of (start, kind, end); kind counts from 0 in KINDS. Rows are written with their tokens, so texts are searched once."""
+    return decided(Scratch(df.sparkSession, "secret-scan").save(marked(df, text_col), "rows"), fdr, uniform_alpha)
 
 
 def shown(spans: Column) -> Column:
@@ -229,11 +236,12 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
     return df.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text_col)))
 
 
-def report(df: DataFrame, **params: float) -> DataFrame:
+def report(df: DataFrame, fdr: float = 0.05, uniform_alpha: float = 0.001) -> DataFrame:
     """One row per row of df: doc_id, counts by base kind, digest of the base spans, and all spans."""
     count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
-    return scan(df.select("doc_id", "text"), **params).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+    found = marked(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").drop("text")
+    return decided(Scratch(df.sparkSession, "secret-scan").save(found, "rows"), fdr, uniform_alpha).select(
+        "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -53,6 +54,53 @@ def test_random_tokens_are_found_and_words_are_not(docs):
     assert len(hit) >= 50
 
 
+def phi(z):
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def battery(token):
+    """(n, chance of so even a token if it is written text, chance of so odd a one if it is random)."""
+    t = token.translate(str.maketrans("-_", "+/"))
+    for k, shape, symbols in (
+        (16, "[0-9a-f]+|[0-9A-F]+", "0123456789abcdef"), (26, "[A-Z]+|[a-z]+", "abcdefghijklmnopqrstuvwxyz"), (32, "[A-Z2-7]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), (64, ".*", secret_scan.ALPHABET),
+    ):
+        if re.fullmatch(shape, t):
+            break
+    t = t.lower() if k in (16, 26) else t
+    n, at = len(t), [symbols.index(c) for c in t]
+    chi = sum((t.count(c) - n / k) ** 2 / (n / k) for c in symbols)
+    middle = (k - 1) / 2
+    changes = sum((x > middle) != (y > middle) for x, y in itertools.pairwise(at))
+    product = sum((x - middle) * (y - middle) for x, y in itertools.pairwise(at))
+    cube = lambda x, df: ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    z = [max(cube(chi, k - 1), 0), (changes - (n - 1) / 2) / math.sqrt((n - 1) / 4), product / (math.sqrt(n - 1) * (k * k - 1) / 12)]
+    match, triple = {16: (0.105, 0.014), 64: (0.055, 0.0045)}.get(k, (0.0655, 0.0062))
+    mean = k * (n - 1) * match + k - n
+    var = 4 * n * (n - 1) * (n - 2) * (triple - match**2) + 2 * n * (n - 1) * (match - match**2)
+    return n, phi((chi - mean) / (k / n * math.sqrt(var))), 1 - phi(cube(sum(x * x for x in z), 3))
+
+
+def test_battery_and_control_against_a_plain_version(docs):
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    token = lambda: "".join(random.choices(random.choice([symbols, "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz"]), k=random.randint(18, 90)))
+    word = lambda: "".join(random.choices(["the", "ing", "tion", "an", "er", "RE", "on", "at", "_", "2"], k=random.randint(8, 30)))
+    texts = [" ".join(random.choice([token, word, word, word])() for _ in range(random.randint(0, 4))) for _ in range(250)] + ODD + ["1" * 40, "é" + token()]
+    tokens = [(i, m.start(), m.end(), *battery(m[0])) for i, t in enumerate(texts) for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t or "") if not m[0].isdigit()]
+    classes = {}
+    for _, _, _, n, written, uniform in tokens:
+        b = min(300, math.floor(-10 * math.log10(max(written, 1e-300)))) if uniform >= 0.001 else 0
+        classes.setdefault(int(math.log2(n)), []).append(b)
+    least = {c: min((b for b in set(bs) if b > 0 and 10 ** (-b / 10) * len(bs) <= 0.05 * sum(x >= b for x in bs)), default=None) for c, bs in classes.items()}
+    expected = {i: [] for i in range(len(texts))}
+    for i, a, z, n, written, uniform in tokens:
+        bound = least[int(math.log2(n))]
+        if bound and uniform >= 0.001 and math.floor(-10 * math.log10(max(written, 1e-300))) >= bound:
+            expected[i].append(f"random:{a}:{z}")
+    found = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("random")] for r in secret_scan.report(docs(texts)).collect()}
+    assert found == expected
+    assert sum(map(len, expected.values())) > 40
+
+
 def test_redaction(docs):
     text = 'a token = "0123456789abcdef0123456789abcdef01" b'
     r = secret_scan.redact(secret_scan.scan(docs([text, "plain", None]))).orderBy("doc_id").collect()
@@ -287,6 +335,29 @@ def test_quality_learns_and_holds_out(docs, spark):
     assert kept == {i for i, r in found.items() if r["predicted"]}
 
 
+def test_scores_equal_a_plain_discriminant(docs, spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choices(["the ", "Tion ", "and\n", "red. ", "bl,ue ", "7 ", "é"], weights=[9, 5, 5, 3, 2, k % 3 + 1, k % 2 + 1], k=rng.randint(1, 120))) for k in range(260)] + ["", None]
+    label = {i: int(rng.random() < 0.6 + 0.3 * (i % 2)) for i in range(240)}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in label.items()], "doc_id bigint, quality int, toxic int")
+    x = np.array([quality.statistics(t or "") for t in texts])
+    learns = [i for i in label if zlib.crc32(str(i).encode()) % 4 != 2]
+    y = np.array([label[i] for i in learns])
+    known = x[learns]
+    z = (x - known.mean(axis=0)) / np.sqrt(np.maximum(known.var(axis=0), 1e-6))
+    each = [z[learns][y == k] for k in (0, 1)]
+    covs = [np.cov(e.T, bias=True) for e in each]
+    pooled = sum(len(e) * c for e, c in zip(each, covs, strict=True)) / len(y)
+    density = []
+    for e, c in zip(each, covs, strict=True):
+        c = 0.95 * (0.8 * c + 0.2 * pooled) + 0.05 * np.diag(np.maximum(np.diag(pooled), 1e-2))
+        far = z - e.mean(axis=0)
+        density.append(-0.5 * np.einsum("ij,jk,ik->i", far, np.linalg.inv(c), far) - 0.5 * np.linalg.slogdet(c)[1])
+    logit = 0.25 * (density[1] - density[0]) + np.log(y.mean() / (1 - y.mean()))
+    found = {r["doc_id"]: r["score"] for r in quality.report(spark, docs(texts), labels).collect()}
+    assert [found[i] for i in range(len(texts))] == pytest.approx((1 / (1 + np.exp(-logit))).tolist(), abs=1e-6)
+
+
 def test_quality_without_labels(docs, spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert {r["score"] for r in quality.report(spark, docs(["a", None]), none).collect()} == {0.5}
