@@ -6,7 +6,7 @@ positions that differ. By the pigeonhole principle signatures at a distance unde
 ``ERRORS`` = 1 differing positions: each chunk is indexed once for every position that may differ, which is left out of the key. So every pair of
 signatures at a distance of at most 23 of 72 meets in a bucket; a pair of Jaccard similarity 0.8 fails to meet with chance 3e-6.
 
-Buckets never list their pairs. A bucket's hub is its member with most bucket mates over all keys (in a group of edited copies: what
+Buckets never list their pairs, nor are any paired for no more than a bucket. A bucket's hub is its member with most bucket mates over all keys (in a group of edited copies: what
 they were copied from). First each member is held against the hub only, links found so are confirmed on the full sets, and connected
 components are formed: a group of thousands of near copies mostly melts down to one component. Pairs within a component need no look, as
 components are what is returned. Members of different components that share a bucket are left, and of them
@@ -16,7 +16,9 @@ components are what is returned. Members of different components that share a bu
   and y, with q = (100 - percent) / (100 + percent). So of y's difference all but that many less one must hold one that x shares; an inverted index over
   the rarest of them finds every link, and as edits differ from copy to copy, it meets few pairs, however large the group. Of any two components one
   isn't the group's largest; what of that is near the core is little, and is paired with the whole group;
-* all others are paired within their bucket.
+* all others meet through an inverted index too: of a set of n elements, taken from the rarest among those left to the commonest, a link must share one of the
+  first n - ceil(n * percent / 100) + 1. A passage that many unrelated documents hold is common, so it is in the first elements of none that has enough of
+  its own. Of the sets that share an element most may be near one hub; as pairs of one hub are looked for above, one set of each pair isn't of that hub.
 
 A pair is confirmed on the full sets if its signatures are at a distance of at most ``MAX_DISTANCE`` (five standard deviations above
 the mean at similarity 0.8): a link needs 100 * intersection >= percent * union.
@@ -205,12 +207,22 @@ class NearDuplicates:
         return components(self.scratch, links.unionByName(more), "roots")
 
     def across(self, left: DataFrame) -> DataFrame:
-        """Pairs (a, b) of one bucket and different components that aren't near the same hub."""
-        rows = left.join(self.hubs, "c", "left").join(self.classes.select("c", "n", "sig"), "c")
-        rows = self.scratch.save(rows, "sided")
-        a, b = (rows.withColumnsRenamed({c: f"{c}{x}" for c in rows.columns}) for x in "ab")
-        apart = (F.col("roota") < F.col("rootb")) & F.coalesce(F.col("ha") != F.col("hb"), F.lit(True))
-        return a.join(b, (F.col("keya") == F.col("keyb")) & apart & self.similar("a", "b")).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        """Pairs (a, b) of different components that aren't near the same hub and can be links, by an inverted index over each set's rarest elements."""
+        members = left.select("c", "root").distinct().join(self.hubs, "c", "left").withColumn("h", F.coalesce("h", "c"))
+        members = self.scratch.save(members.join(self.sets, "c").select("c", "root", "h", F.size("set").alias("n"), "set"), "sided")
+        parts = members.select("c", "root", "h", "n", F.explode("set").alias("e"))
+        common = self.scratch.save(parts.groupBy("e").agg(F.count("*").alias("f")).where("f > 1"), "frequent")
+        rank = F.row_number().over(Window.partitionBy("c").orderBy("f", "e"))
+        # ceil of n * percent / 100, in whole numbers.
+        first = F.col("n") - F.floor((F.col("n") * self.percent + 99) / 100).cast("int") + 1
+        ranked = parts.join(common, "e", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("r", rank)
+        rare = self.scratch.save(ranked.where((F.col("r") <= first) & (F.col("f") > 1)).select("e", "c", "root", "h", "n"), "rare")
+        usual = rare.groupBy("e", "h").agg(F.count("*").alias("k")).groupBy("e").agg(F.max(F.struct("k", "h"))["h"].alias("usual"))
+        x = rare.join(self.scratch.save(usual, "usual"), "e").where("h <> usual").select("e", F.col("c").alias("x"), F.col("root").alias("rx"), F.col("h").alias("hx"), F.col("n").alias("nx"))
+        y = rare.withColumnsRenamed({"c": "y", "root": "ry", "h": "hy", "n": "ny"})
+        sized = 100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny")
+        met = x.join(y, "e").where((F.col("rx") != F.col("ry")) & (F.col("hx") != F.col("hy")) & sized)
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def beside(self, left: DataFrame) -> DataFrame:
         """Pairs (a, b) of different components near the same hub that can be links, by an inverted index over differences from the group's core."""
