@@ -17,7 +17,6 @@ of their own. An empty table gives no rows.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,19 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import Scratch, WordCache, chunks
+from gaugeworks.llm.common import Scratch, chunks
+from gaugeworks.llm.words import place_in, polynomial
 
 SIZE = 2048
 PART = 50_000
 TOKENIZER = "word_bpe_49k.json"
-#: Whitespace to the tokenizer; Python's own split also takes the separators 0x1C to 0x1F, which are symbols to it.
-ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-CACHED_WORDS = 600_000
+CHARS_AT_ONCE = 1_000_000
+CACHED_WORDS = 2_000_000
 #: Symbols of which the first that is a single id parts words.
 MARKS = "\u00ac\u00a6\u00a7\u00b6\u00a4|"
-_SPACE = re.compile("[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: Latin-1 characters by what they are to the tokenizer: . for comma and full stop, # for other symbols, a blank for the rest.
-_KINDS = bytes(ord("." if c in ".," else " " if c.isalnum() or c.isspace() and c not in ODD_SPACE else "#") for c in map(chr, range(256)))
+#: White space to the tokenizer, of ASCII and beyond.
+_SPACES = np.array([*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+WHITE, LETTER, DIGIT, SYMBOL, OTHER = range(5)
+_KINDS = np.array([WHITE if c in _SPACES[:6] else LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else SYMBOL for c in range(128)], np.int8)
 
 _tokenizers: dict[str, Words] = {}
 
@@ -51,86 +51,153 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def parts_of(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of the parts of a text that are tokenised each by itself, and two 64-bit hashes of each, one after another in pairs.
+
+    The tokenizer's normaliser and pattern never reach across white space. In a word of ASCII they split letters, single digits and symbols and lower the letters, so there runs of
+    one kind are parts, and case makes no difference. Other words are parts as they stand: they may be composed, and an apostrophe or the < of a special token binds.
+    """
+    kinds = np.full(len(chars), OTHER, np.int8)
+    plain = chars < 128
+    kinds[plain] = _KINDS[chars[plain]]
+    if not plain.all():
+        far = np.flatnonzero(~plain)
+        kinds[far[np.isin(chars[far], _SPACES)]] = WHITE
+    at = np.flatnonzero(kinds != WHITE)
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.uint64)
+    codes, kinds = chars[at].astype(np.uint64), kinds[at]
+    begins = np.r_[True, at[1:] != at[:-1] + 1]
+    word = np.cumsum(begins) - 1
+    bound = (kinds == OTHER) | (codes == 39) | (codes == 60)
+    free = ~np.logical_or.reduceat(bound, np.flatnonzero(begins))[word]
+    codes[free & (codes >= 65) & (codes <= 90)] += np.uint64(32)
+    begins[1:] |= free[1:] & ((kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT))
+    first = np.flatnonzero(begins)
+    sizes = np.diff(np.r_[first, len(at)])
+    return at[first], sizes, np.stack([polynomial(codes, sizes), polynomial(codes ^ np.uint64(0x5A5A5A), sizes)], axis=1)
+
+
 class Words:
-    """Looks words' ids up, as bytes (little-endian uint32), once per worker.
+    """Looks parts' ids up, once per worker.
 
-    The tokenizer's normaliser and word pattern never reach across white space, so a text's ids are its words' ids in turn.
-    Unknown words are encoded many at a time, between words of one symbol that is one id and found in none of them.
+    Known parts stand in arrays in order of their first hash; the second must agree too. New ones gather in a small table that is merged into the large one by and by.
+    Unknown parts are encoded many at a time, between words of one symbol that is one id and found in none of them.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHED_WORDS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        #: A special token's string stands for the token wherever a text has it, in just that case.
-        self.special = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
-        if any(c.isspace() for t in self.special for c in t):
+        if any(c.isspace() for t in self.tokenizer.get_added_tokens_decoder().values() for c in t.content):
             raise ValueError("special tokens with white space can't be told by words")
-        self.cache = WordCache(CACHED_WORDS)
-        single = ((c, i) for c in MARKS if len(i := self.ids([c])[0]) == 1)
+        single = ((c, i) for c in MARKS if len(i := self.encoded([c])[0]) == 1)
         self.mark, (self.mark_id,) = next(single)
+        self.clear()
+
+    def clear(self) -> None:
+        none = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        #: Hash, second hash, place in ids, and number of ids of each part.
+        self.large, self.small = none, none
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
+    def encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        missing = self.cache.missing(words)
-        known = self.cache.known
-        for w in [w for w in missing if self.mark in w]:
-            known[w] = array("I", self.ids([w])[0]).tobytes()
-        plain = [w for w in missing if self.mark not in w]
-        for at in range(0, len(plain), 5000):
-            some = plain[at : at + 5000]
-            ids = np.array(self.ids([f" {self.mark} ".join(some)])[0], "<u4")
-            ends = (np.flatnonzero(ids == self.mark_id) * 4).tolist()
-            raw = ids.tobytes()
-            known.update(zip(some, [raw[a:b] for a, b in zip([0, *[x + 4 for x in ends]], [*ends, len(raw)], strict=True)], strict=True))
-        return known
-
-
-def words_of(text: str, special: tuple[str, ...] = ()) -> list[str]:
-    """Parts of a text that are tokenised each by itself, in order. A text that may hold special tokens' strings (lowered here) keeps its case.
-
-    In a text of Latin-1 characters, where case maps character by character and nothing is composed, lowering it first changes no id; and a comma or
-    full stop with no symbol beside it is a word of its own to the tokenizer. Both leave fewer distinct words.
-    """
-    if any(c in text for c in ODD_SPACE):
-        return [w for w in _SPACE.split(text) if w]
-    try:
-        kinds = text.encode("latin-1").translate(_KINDS)
-    except UnicodeEncodeError:
-        return text.split()
-    low = text.lower()
-    if any(t in low for t in special):
-        return text.split()
-    if not (b".." in kinds or b".#" in kinds or b"#." in kinds):
-        text = text.replace(",", " , ").replace(".", " . ")
-    return text.lower().split()
+    def ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All parts' ids, one after another, and how many each has."""
+        out, sizes = [], []
+        for at in range(0, len(parts), 5000):
+            some = parts[at : at + 5000]
+            if any(self.mark in p for p in some):
+                each = self.encoded(some)
+                out.append(np.array([i for ids in each for i in ids], np.uint32))
+                sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+            else:
+                found = np.array(self.encoded([f" {self.mark} ".join(some)])[0], np.uint32)
+                marks = found == self.mark_id
+                out.append(found[~marks])
+                sizes.append(np.diff(np.r_[-1, np.flatnonzero(marks), len(found)]) - 1)
+        return np.concatenate(out), np.concatenate(sizes)
+
+    @staticmethod
+    def find(table: tuple[np.ndarray, ...], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each hash is there, and its place and number of ids."""
+        keys, second, place, size = table
+        if not len(keys):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        i = np.minimum(np.searchsorted(keys, hashes[:, 0]), len(keys) - 1)
+        return (keys[i] == hashes[:, 0]) & (second[i] == hashes[:, 1]), place[i], size[i]
+
+    def look_up(self, text: str, start: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in flat and number of ids of each part of a text."""
+        if len(self.large[0]) + len(self.small[0]) > self.most:
+            self.clear()
+        _, first, own = np.unique(hashes[:, 0], return_index=True, return_inverse=True)
+        if (hashes[first[own], 1] != hashes[:, 1]).any():
+            _, first, own = np.unique(np.ascontiguousarray(hashes).view("u8,u8").ravel(), return_index=True, return_inverse=True)
+        wanted = hashes[first]
+        known, place, size = self.find(self.large, wanted)
+        also, p, n = self.find(self.small, wanted)
+        place[also], size[also] = p[also], n[also]
+        new = np.flatnonzero(~known & ~also)
+        if len(new):
+            found, size[new] = self.ids([text[a : a + n] for a, n in zip(start[first[new]].tolist(), length[first[new]].tolist(), strict=True)])
+            place[new] = self.used + np.cumsum(size[new]) - size[new]
+            total = self.used + int(size[new].sum())
+            if total > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.empty(2 * total - self.used, np.uint32)])
+            self.flat[self.used : total] = found
+            self.used = total
+            self.small = self.merged(self.small, (wanted[new, 0], wanted[new, 1], place[new], size[new]))
+            if len(self.small[0]) > 20_000 + len(self.large[0]) // 8:
+                self.large, self.small = self.merged(self.large, self.small), tuple(x[:0] for x in self.small)
+        return place[own], size[own]
+
+    @staticmethod
+    def merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
+
+    def texts(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, each with the end's id after it, and how many each text has."""
+        whole = "\n".join(texts)
+        start, length, hashes = parts_of(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4"))
+        place, size = self.look_up(whole, start, length, hashes)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        upto = np.searchsorted(start, np.cumsum(sizes + 1) - 1)  # each text's parts end before these
+        # A text's end is a part of one id, which is put in last.
+        place, size = np.insert(place, upto, -1), np.insert(size, upto, 1)
+        ids = self.flat[np.maximum(0, np.repeat(place, size) + place_in(size))]
+        ends = np.cumsum(size)[upto + np.arange(len(texts))]
+        ids[ends - 1] = end_id
+        return ids, np.diff(np.r_[0, ends])
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, _row, text) to one row per piece. Texts become Python objects a few at a time."""
     if path not in _tokenizers:
         _tokenizers[path] = Words(path)
-    end = array("I", [end_id]).tobytes()
     for batch in batches:
-        out = []
-        for texts in chunks(batch.column("text"), 1_000_000):
-            split = [words_of(t, _tokenizers[path].special) for t in texts]
-            known = _tokenizers[path].learn(set().union(*split))
-            for words in split:
-                ids = b"".join(map(known.__getitem__, words)) + end
-                cuts = [ids[at : at + 4 * size] for at in range(0, len(ids), 4 * size)]
-                out.append([(len(cut) // 4, zlib.crc32(cut)) for cut in cuts])
-        n = np.fromiter(map(len, out), np.int64, len(out))
-        length, crc = (np.fromiter((x[k] for cuts in out for x in cuts), np.int64, int(n.sum())) for k in (0, 1))
-        piece = np.arange(len(length)) - np.repeat(np.cumsum(n) - n, n)
+        counts, length, crc = [], array("q"), array("q")
+        for texts in chunks(batch.column("text"), CHARS_AT_ONCE):
+            ids, many = _tokenizers[path].texts(texts, end_id)
+            raw, at = memoryview(ids.astype("<u4").tobytes()), 0
+            counts.append(-(-many // size))
+            for n in many.tolist():
+                for lo in range(at, at + n, size):
+                    hi = min(lo + size, at + n)
+                    length.append(hi - lo)
+                    crc.append(zlib.crc32(raw[4 * lo : 4 * hi]))
+                at += n
+        n = np.concatenate(counts) if counts else np.empty(0, np.int64)
+        piece = place_in(n)
         rows = pa.array(np.repeat(np.arange(len(n)), n))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(rows), batch.column("_row").take(rows), pa.array(piece, pa.int32()), pa.array(piece * size), pa.array(length), pa.array(crc)],
+            [batch.column("doc_id").take(rows), batch.column("_row").take(rows), pa.array(piece, pa.int32()), pa.array(piece * size), pa.array(np.array(length)), pa.array(np.array(crc))],
             ["doc_id", "_row", "piece", "start", "length", "ids_crc32"],
         )
 

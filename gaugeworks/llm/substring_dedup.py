@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import NO_ID, Scratch, chunks, identity, text_or_empty
+from gaugeworks.llm.words import polynomial
 
 REACH = 8
 LEAST = 20
@@ -35,8 +36,6 @@ CHARS_AT_ONCE = 2_000_000
 #: Multipliers of what marks a word: its first and last character, its length, and the word's place in a pair.
 FIRST, LAST, SIZE, PAIR = 1540483477, 1812433253, 1103515245, 1664525525
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 UNITS = "array<struct<at:int,n:int,start:int,end:int,a:bigint>>"
@@ -54,20 +53,6 @@ def cut_after(marks: np.ndarray, line: np.ndarray, reach: int) -> np.ndarray:
     return ends
 
 
-def place_in(sizes: np.ndarray) -> np.ndarray:
-    """0, 1, 2, ... within each of the groups of these sizes."""
-    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
-def polynomial(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each group of values, by place in the group."""
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(int(sizes.max()) - 1, _BASE)], dtype=np.uint64)
-    h = np.add.reduceat((values + np.uint64(1)) * powers[place_in(sizes)], np.cumsum(sizes) - sizes) + sizes.astype(np.uint64)
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    return h ^ (h >> np.uint64(32))
-
-
 def units(texts: list[str], reach: int) -> tuple[np.ndarray, ...]:
     """Per unit of all texts: its text's number, its first word's number there, its words, its first and last character (exclusive), its digest."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
