@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.ordered import running
+
 
 def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an order."""
@@ -30,8 +32,8 @@ def best_version(new: DataFrame, old: DataFrame, cell: str) -> DataFrame:
 
 def frontier(points: DataFrame, group: str, x: str, y: str, tie: str) -> DataFrame:
     """Points whose y exceeds that of every cheaper one of their group."""
-    before = Window.partitionBy(group).orderBy(x, F.desc(y), tie).rowsBetween(Window.unboundedPreceding, -1)
-    return points.withColumn("_b", F.max(y).over(before)).where(F.col("_b").isNull() | (F.col(y) > F.col("_b"))).drop("_b")
+    found = running(points, group, [F.col(x), F.desc(y), F.col(tie)], {"_b": (F.max, F.col(y))}, before_own=True)
+    return found.where(F.col("_b").isNull() | (F.col(y) > F.col("_b"))).drop("_b")
 
 
 def apportion(shares: DataFrame, group: str, name: str, weight: str, total: int) -> DataFrame:

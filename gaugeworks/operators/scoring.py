@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import scalars as S
+from gaugeworks.operators.ordered import running
 
 
 def accuracy(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -41,11 +42,9 @@ def ece(bins: DataFrame) -> DataFrame:
 
 def risk_coverage(rows: DataFrame, group: str, p: str, correct: str, tie: str) -> DataFrame:
     """Running accuracy within a group in order of falling p; ties go by id."""
-    w = Window.partitionBy(group).orderBy(F.desc(p), tie).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(p), tie))
-    return rows.select(
-        group, tie, p, n.cast("long").alias("covered"), F.round(F.sum(F.col(correct).cast("int")).over(w) / n, 9).alias("accuracy")
-    )
+    ones = rows.select(group, tie, p, F.col(correct).cast("long").alias("_c"), F.lit(1).cast("long").alias("_n"))
+    found = running(ones, group, [F.desc(p), F.col(tie)], {"covered": (F.sum, F.col("_n")), "right": (F.sum, F.col("_c"))})
+    return found.select(group, tie, p, "covered", F.round(F.col("right") / F.col("covered"), 9).alias("accuracy"))
 
 
 def stratified(sample: DataFrame, sizes: DataFrame, stratum: str, correct: str) -> DataFrame:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.sources.folders import Steps
+
+#: Rows of two longs that may be broadcast: 8 MB.
+FEW = 500_000
+
 # Shapes of credentials that are blanked, each with what stays before the mark.
 REDACTED = "[REDACTED]"
 SHAPES = (
@@ -39,13 +44,25 @@ def windows(text: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def digests(text: Column, size: int) -> Column:
+    """array<struct<a,b>>: 128 bits of each window of so many words, as windows() has them; words are hashed one after another, never joined."""
+    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    both = lambda w, i: F.struct(F.xxhash64(F.slice(w, i, F.lit(size))).alias("a"), F.xxhash64(F.lit(size), F.slice(w, i, F.lit(size))).alias("b"))
+    return F.when(
+        F.size(words) >= size, F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: both(w, i)))[0]
+    ).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
+
+
 def contamination(corpus: DataFrame, gated: DataFrame, size: int = 10, common: int | None = None) -> DataFrame:
     """(doc_id, hits): distinct windows of gated texts found in each document. Windows in more than ``common`` gated items are boilerplate.
 
-    Gated windows are deduplicated first; a corpus window meets at most one row of them.
+    Gated windows are deduplicated and written first. Up to ``FEW`` of them go to every task, so that no window of the corpus is shuffled; more meet the corpus by a shuffle join.
     """
-    wanted = gated.select("item_id", F.explode(F.array_distinct(windows(F.col("text"), size))).alias("w")).groupBy("w").agg(F.count("*").alias("items"))
+    wanted = gated.select("item_id", F.explode(F.array_distinct(digests(F.col("text"), size))).alias("w")).groupBy("w").agg(F.count("*").alias("items"))
     if common is not None:
         wanted = wanted.where(F.col("items") <= common)
-    found = corpus.select("doc_id", F.explode(F.array_distinct(windows(F.col("text"), size))).alias("w"))
-    return found.join(wanted.select("w"), "w", "left_semi").groupBy("doc_id").agg(F.count("*").alias("hits"))
+    wanted = Steps(corpus.sparkSession, "contamination").save(wanted.select("w.a", "w.b"), "wanted")
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    found = corpus.select("doc_id", F.explode(F.array_distinct(digests(F.col("text"), size))).alias("w")).select("doc_id", "w.a", "w.b")
+    return found.join(wanted, ["a", "b"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("hits"))

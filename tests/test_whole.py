@@ -192,3 +192,30 @@ def test_budgets_go_on_from_batch_to_batch(spark, tmp_path):
         found = ledgers.budget_ledger(spark.readStream.schema(schema).parquet(f"{tmp_path}/ops"), 300.0, 25, f"{tmp_path}/run")
     assert {r["owner"]: tuple(r)[1:] for r in found.collect()} == expected
     assert sum(x[1] for x in expected.values()) > 10 and sum(x[2] for x in expected.values()) > 0
+
+
+def test_running_values_go_on_over_parts(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeworks.operators.ordered import running
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k, rng.choice([None, *range(9)])) for k in range(3000)]
+    table = spark.createDataFrame(rows, "g string, k int, v int").repartition(7)
+    found = {r["k"]: (r["total"], r["most"]) for r in running(table, "g", [F.col("k")], {"total": (F.sum, F.col("v")), "most": (F.max, F.col("v"))}, before_own=True).collect()}
+    seen, expected = {}, {}
+    for g, k, v in rows:
+        before = [x for x in seen.setdefault(g, []) if x is not None]
+        expected[k] = (sum(before) if before else None, max(before, default=None))
+        seen[g].append(v)
+    assert found == expected
+
+
+def test_steps_are_swept(spark):
+    from gaugeworks.sources import folders
+
+    steps = folders.Steps(spark, "swept")
+    assert steps.save(spark.range(3), "x").count() == 3
+    folders.sweep(spark)
+    p = spark._jvm.org.apache.hadoop.fs.Path(steps.root)
+    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
