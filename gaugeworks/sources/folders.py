@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting by which a query's shuffle files are deleted at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _inside = threading.Lock(), []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,13 +32,8 @@ class Steps:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write the rows and read them again. The shuffle files that this took go when it is done."""
-        conf = self.spark.conf
-        before = conf.get(CLEANUP, "false")
-        conf.set(CLEANUP, "true")
-        try:
+        with _cleaning(self.spark):
             df.write.parquet(f"{self.root}/{name}")
-        finally:
-            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
@@ -43,6 +42,23 @@ class Steps:
             delete(self.spark, f"{self.root}/{name}")
 
 
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """CLEANUP is on while any thread is inside, and as it was after the last has left."""
+    with _lock:
+        if not _inside:
+            _inside.append(spark.conf.get(CLEANUP, "false"))
+            spark.conf.set(CLEANUP, "true")
+        _inside.append("")
+    try:
+        yield
+    finally:
+        with _lock:
+            _inside.pop()
+            if len(_inside) == 1:
+                spark.conf.set(CLEANUP, _inside.pop())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
