@@ -1,59 +1,18 @@
-"""Scratch tables in the shared folder, and native column helpers that several operators use."""
+"""Scratch tables, and native column helpers that several operators use."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gaugeworks.sources.folders import Steps as Scratch  # noqa: F401
+
 #: Ranks documents without an id after all others.
 NO_ID = 2**63 - 1
-#: Spark's setting by which a query's shuffle files are deleted at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local session gets a folder of its own; on a cluster that is an error,
-    as a machine-local folder would lose files with its executor.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file:///tmp/checkpoints/gaugeworks"
-
-
-class Scratch:
-    """Tables of one run of an operator, written to the shared folder so that lost executors cost no lineage."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write the rows and read them again: a cut of the lineage that survives executors. Its shuffle files go when it is written."""
-        conf = self.spark.conf
-        before = conf.get(CLEANUP, "false")
-        conf.set(CLEANUP, "true")
-        try:
-            df.write.parquet(f"{self.root}/{name}")
-        finally:
-            conf.set(CLEANUP, before)
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

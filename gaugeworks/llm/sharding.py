@@ -7,8 +7,9 @@ Merging moves no row between tasks: whole shards are read side by side and writt
 a hot source or key can't skew it. Shards of half the target or more are finished and are never rewritten.
 
 Every change ends with a commit: the manifest of the next version is written beside the others and renamed to
-its number, which fails if another writer has taken it. Until then readers see the old version whole; a lost executor or
-driver leaves at most unlisted files, which ``vacuum`` deletes.
+its number, which fails if another writer has taken it; an append then lists its shards upon that writer's version and tries again, a compaction leaves
+its tiers for the next. Until then readers see the old version whole; a lost executor or
+driver leaves at most unlisted files, which ``vacuum`` deletes once they are older than a writer may take (``grace``).
 
 Rows are kept as they are: nulls, empty and long texts, repeated rows and extra columns. An empty table
 gives a version with no shards, and reads as no rows of its schema.
@@ -16,7 +17,9 @@ gives a version with no shards, and reads as no rows of its schema.
 
 from __future__ import annotations
 
+import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,38 +76,56 @@ class ShardStore:
         return F.when(size >= self.target / 2, 0).otherwise(F.greatest(F.lit(1), steps)).cast("int").alias("tier")
 
     def append(self, rows: DataFrame) -> int:
-        """Write arrivals as small shards and commit them."""
-        base = (self.versions() or [0])[-1]
+        """Write arrivals as small shards and commit them, upon whatever version is the last by then."""
         folder = f"data/{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{folder}")
-        return self.commit(base, self.manifest().unionByName(self._listed(folder)))
+        listed = Scratch(self.spark, "listed").save(self._listed(folder), "shards")
+        while True:
+            base = (self.versions() or [0])[-1]
+            try:
+                return self.commit(base, (self.manifest(base) if base else self.manifest()).unionByName(listed))
+            except Exception:
+                if (self.versions() or [0])[-1] == base:  # no other writer was first: another fault
+                    raise
 
     def compact(self) -> int:
-        """Merge each tier that holds enough shards; one commit for all tiers. Returns the last version."""
+        """Merge each tier that holds enough shards, side by side; one commit for all tiers. Returns the last version."""
         base = (self.versions() or [0])[-1]
         live = self.manifest()
         tiers = live.where("tier > 0").groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") >= self.fanout).collect()
-        merged = []
-        for t in sorted(tiers, key=lambda t: -t["tier"]):
+        if not tiers:
+            return base
+
+        def merge(t) -> str:
             folder = f"data/{uuid.uuid4().hex}"
             # Driver-side work is by shard, as in Spark's own listing of files: the manifest, never rows.
             paths = [f"{self.root}/{r['path']}" for r in live.where(F.col("tier") == t["tier"]).orderBy("path").toLocalIterator()]
             files = max(1, round(t["bytes"] / self.target))
             self.spark.read.schema(self.schema).parquet(*paths).coalesce(files).write.parquet(f"{self.root}/{folder}")
-            merged.append((t["tier"], folder))
-        if not merged:
-            return base
-        rest = live.where(~F.col("tier").isin([t for t, _ in merged]))
-        for _, folder in merged:
-            rest = rest.unionByName(self._listed(folder))
-        return self.commit(base, rest)
+            return folder
 
-    def vacuum(self) -> None:
-        """Delete data folders that the last version doesn't name, and older manifests. For when no reader holds an older version."""
+        with ThreadPoolExecutor(len(tiers)) as pool:
+            folders = list(pool.map(merge, tiers))
+        rest = live.where(~F.col("tier").isin([t["tier"] for t in tiers]))
+        for folder in folders:
+            rest = rest.unionByName(self._listed(folder))
+        try:
+            return self.commit(base, rest)
+        except Exception:
+            last = self.versions()[-1]
+            if last == base:
+                raise
+            return last
+
+    def vacuum(self, grace: float = 86_400.0) -> None:
+        """Delete data folders that the last version doesn't name and that are older than so many seconds, and older manifests. For when no reader holds an older version.
+
+        A writer has its folder before it commits, so grace must be longer than an append or a compaction takes; 0 is for a store that no one else writes to."""
         found = self.versions()
+        before = (time.time() - grace) * 1000
         named = {r["f"] for r in self.manifest().select(F.element_at(F.split("path", "/"), 2).alias("f")).distinct().toLocalIterator()}
         for s in self._fs.listStatus(self._path(f"{self.root}/data")):
-            if s.getPath().getName() not in named:
+            if s.getPath().getName() not in named and s.getModificationTime() <= before:
                 self._fs.delete(s.getPath(), True)
         for v in found[:-1]:
             self._fs.delete(self._path(f"{self.root}/manifests/v{v:08d}"), True)
@@ -129,7 +150,7 @@ def shard(spark: SparkSession, docs: DataFrame, waves: int = 3, target_bytes: in
     for wave in arrivals(docs, waves):
         store.append(wave)
         store.compact()
-        store.vacuum()
+        store.vacuum(grace=0)  # the store is this run's own
     return store
 
 

@@ -245,11 +245,30 @@ def test_shards_round_trip_and_versions(docs, spark):
     assert store.read(2).count() < 403
     with pytest.raises(Exception, match="exist"):
         store.commit(4, store.manifest())
+    # A writer that has not committed yet keeps its files, and one that lost a race commits upon the other's version.
+    late = rows.where("doc_id = 3")
+    late.write.parquet(f"{store.root}/data/late")
     store.vacuum()
+    assert store.spark.read.parquet(f"{store.root}/data/late").count() == 1
+    store.vacuum(grace=-60)
+    assert not store._fs.exists(store._path(f"{store.root}/data/late"))
     assert store.versions() == [5] and store.read().count() == 403
     assert sorted(map(str, store.read().collect())) == sorted(map(str, rows.collect()))
 
 
+def test_appends_at_the_same_time_all_stay(docs, spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from gaugeworks.llm.common import Scratch
+
+    rows = docs([(i, f"text {i}") for i in range(40)])
+    store = sharding.ShardStore(spark, Scratch(spark, "race").root, rows.schema)
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda k: store.append(rows.where(f"doc_id % 4 = {k}")), range(4)))
+    assert sorted(done) == store.versions() == [1, 2, 3, 4]
+    assert sorted(r["doc_id"] for r in store.read().collect()) == list(range(40))
+
+
 # Tokens
 
 
