@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gaugeworks.sources.files import append_new
 from gaugeworks.sources.folders import shared_folder
 
 
@@ -44,11 +45,27 @@ def _settled(rows: DataFrame, mode: str, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{root}/rows")
 
 
+def appended(rows: DataFrame, keys: list[str], root: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The ledger that a stream is appended to, and how many rows each batch (batch, n_appended, n_refused) brought; run until what is there has been read.
+
+    A key that the ledger holds is refused for good, however long ago it came: the ledger itself is what is remembered, not the stream's state. A batch that is run again
+    finds its own rows there, so nothing is appended twice."""
+    spark = rows.sparkSession
+    root = root or f"{shared_folder(spark)}/streams/ledger-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        counts = append_new(batch, f"{root}/rows", keys)
+        batch.sparkSession.createDataFrame([(n, *counts)], "batch bigint, n_appended bigint, n_refused bigint").write.mode("append").parquet(f"{root}/counts")
+
+    q = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{root}/rows"), spark.read.parquet(f"{root}/counts")
+
+
 def deduplicated(spark: SparkSession, path: str) -> DataFrame:
-    """Every event id once, though the stream holds each twice; ids are forgotten a day behind the watermark."""
+    """Every event id once, though the stream holds each twice."""
     once = _events(spark, path)
-    twice = once.unionByName(once).withWatermark("ts", "1 day")
-    return _settled(twice.dropDuplicatesWithinWatermark(["event_id"]), "append", "dedup")
+    return appended(once.unionByName(once), ["event_id"])[0]
 
 
 def hourly(spark: SparkSession, path: str) -> DataFrame:

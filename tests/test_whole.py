@@ -219,3 +219,14 @@ def test_steps_are_swept(spark):
     folders.sweep(spark)
     p = spark._jvm.org.apache.hadoop.fs.Path(steps.root)
     assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def test_keys_are_refused_for_good(spark, tmp_path):
+    from gaugeworks.streaming import ledgers
+
+    schema = "k int, at int"
+    for at, keys in enumerate(([1, 2, 2], [2, 3], [], [1, 4])):
+        spark.createDataFrame([(k, at) for k in keys], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        rows, counts = ledgers.appended(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), ["k"], f"{tmp_path}/run")
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 0), (2, 0), (3, 1), (4, 3)]
+    assert counts.agg({"n_appended": "sum", "n_refused": "sum"}).first()[:] in ((4, 3), (3, 4))
