@@ -23,9 +23,13 @@ def distances(links: DataFrame, source: int) -> DataFrame:
 
 
 def refined(links: DataFrame, rounds: int) -> DataFrame:
-    """(node, signature): hashes of neighbours' hashes, begun from degrees; a renaming of nodes changes none."""
+    """(node, signature): hashes of neighbours' hashes, begun from degrees; a renaming of nodes changes none.
+
+    A node's neighbours enter by the sums of four 32-bit parts of their hashes, which are partial aggregates: the neighbours of a hub are never gathered.
+    """
+    part = lambda k: F.sum(F.conv(F.substring("t", 1 + 8 * k, 8), 16, 10).cast("long")).alias(f"p{k}")
     labels = links.groupBy("a").agg(F.md5(F.count("*").cast("string")).alias("s"))
     for _ in range(rounds):
-        near = links.join(labels.withColumnsRenamed({"a": "b", "s": "t"}), "b").groupBy("a").agg(F.array_join(F.sort_array(F.collect_list("t")), ",").alias("t"))
-        labels = labels.join(near, "a").select("a", F.md5(F.concat_ws("|", "s", "t")).alias("s"))
+        near = links.join(labels.withColumnsRenamed({"a": "b", "s": "t"}), "b").groupBy("a").agg(*map(part, range(4)))
+        labels = labels.join(near, "a").select("a", F.md5(F.concat_ws("|", "s", "p0", "p1", "p2", "p3")).alias("s"))
     return labels.select(F.col("a").alias("node"), F.col("s").alias("signature"))

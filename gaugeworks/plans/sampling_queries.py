@@ -73,7 +73,15 @@ def bfs_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.distances(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), 0)
 
 
-@query("structural_signature")
+_PARTS = ", ".join(f"sum(('0x' || substr(n.s, {1 + 8 * k}, 8))::bigint)" for k in range(4))
+_ROUNDS = ", ".join(f"l{k + 1} AS (SELECT e.a, md5(concat_ws('|', any_value(o.s), {_PARTS})) AS s FROM e JOIN l{k} o ON e.a = o.a JOIN l{k} n ON e.b = n.a GROUP BY e.a)" for k in range(3))
+
+
+@query(
+    "structural_signature",
+    f"""WITH u AS (SELECT DISTINCT s_nationkey AS a, (s_suppkey % 25)::int AS b FROM supplier WHERE s_nationkey <> s_suppkey % 25), e AS (SELECT a, b FROM u UNION SELECT b, a FROM u),
+l0 AS (SELECT a, md5(count(*)::varchar) AS s FROM e GROUP BY a), {_ROUNDS} SELECT a AS node, s AS signature FROM l3""",
+)
 def structural_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures of nations by their place in the supplier graph, the same under any renaming."""
     links = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("a"), (F.col("s_suppkey") % 25).cast("int").alias("b")).where("a <> b")

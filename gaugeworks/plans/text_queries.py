@@ -133,9 +133,9 @@ def leakage_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id").join(leaks, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_leaks"), "first_doc")
 
 
-@query("nfc_variants")
+@query("nfc_variants", "SELECT lang, count(*)::bigint AS n, count_if(nfc_normalize(text) <> text)::bigint AS n_changed FROM documents GROUP BY lang")
 def nfc_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether composing changes a text. There is no SQL function for it."""
+    """Whether composing changes a text. Spark has no function for it."""
 
     def changed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t is not None and not unicodedata.is_normalized("NFC", t))
@@ -209,17 +209,18 @@ def ordered_menus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_brand", "p_partkey", place.cast("long").alias("place"), shuffled.cast("long").alias("shuffled")).where("place <= 8")
 
 
-@query("candidate_filter")
+@query(
+    "candidate_filter",
+    r"""WITH w AS (SELECT unnest(string_split_regex(lower(text), '\s+')) AS word FROM documents), f AS (SELECT word, count(*)::bigint AS freq FROM w GROUP BY word)
+SELECT word, freq FROM f WHERE word <> '' AND NOT regexp_matches(word, '[\x00-\x1F\x7F]') AND word NOT IN ('the', 'of', 'and')
+  AND len(list_filter(range(1, length(word) // 3 + 1), lambda n: repeat(right(word, n), 3) = right(word, 3 * n))) = 0 ORDER BY freq DESC, word LIMIT 254""",
+)
 def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that may be offered: no control characters, none banned, and none that repeats a unit of its own end (which needs a loop)."""
-
-    def repeats(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: any(w[-n:] * 3 == w[-3 * n :] for n in range(1, len(w) // 3 + 1)))
-
+    """Words that may be offered: no control characters, none banned, and none that ends in a unit three times over."""
     words = load(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
     fit = words.where((F.col("word") != "") & ~F.col("word").rlike(r"\p{Cntrl}") & ~F.col("word").isin("the", "of", "and"))
-    fit = fit.where(~F.pandas_udf(repeats, "boolean")("word"))
-    return fit.orderBy(F.desc("freq"), "word").limit(254)
+    again = F.exists(F.sequence(F.lit(1), F.floor(F.length("word") / 3).cast("int")), lambda n: F.repeat(F.right("word", n), F.lit(3)) == F.right("word", n * 3))
+    return fit.where((F.length("word") < 3) | ~again).orderBy(F.desc("freq"), "word").limit(254)
 
 
 @query(

@@ -111,7 +111,8 @@ def test_signatures_don_t_depend_on_names(spark):
     links |= {(b, a) for a, b in links}
     labels = {a: hashlib.md5(str(sum(x == a for x, _ in links)).encode()).hexdigest() for a, _ in links}
     for _ in range(3):
-        labels = {a: hashlib.md5(f"{labels[a]}|{','.join(sorted(labels[y] for x, y in links if x == a))}".encode()).hexdigest() for a in labels}
+        near = {a: [labels[y] for x, y in links if x == a] for a in labels}
+        labels = {a: hashlib.md5("|".join([labels[a], *(str(sum(int(t[8 * k : 8 * k + 8], 16) for t in near[a])) for k in range(4))]).encode()).hexdigest() for a in labels}
     found = {r["node"]: r["signature"] for r in graphs.refined(spark.createDataFrame(sorted(links), "a int, b int"), 3).collect()}
     assert found == labels
     renamed = spark.createDataFrame([(a * 7 % 12 + 50, b * 7 % 12 + 50) for a, b in sorted(links)], "a int, b int")
