@@ -74,7 +74,7 @@ def search(spark: SparkSession, codes: DataFrame, queries: DataFrame, k: int) ->
     ranked = ranked.withColumn("r", F.row_number().over(whole)).where(F.col("r") <= k + 1)
     index = scratch.save(ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "index")
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), segment(F.col("code"), s).alias("v")) for s in range(SEGMENTS)]))
-    entries = scratch.save(index.select("code", F.size("ids").alias("n"), each.alias("e")).select("e.s", "e.v", "code", "n"), "entries")
+    entries = scratch.save(index.select("code", F.size("ids").alias("n"), F.col("ids")[0].alias("least"), each.alias("e")).select("e.s", "e.v", "code", "n", "least"), "entries")
     # One row a segment, of at most 65,536 values.
     values = scratch.save(entries.groupBy("s").agg(F.collect_set("v").alias("values")), "values")
     most = values.agg(F.max(F.size("values"))).first()[0] or 0
@@ -95,7 +95,7 @@ def search(spark: SparkSession, codes: DataFrame, queries: DataFrame, k: int) ->
         else:
             probes = probes.join(F.broadcast(values), "s").select("q", "bound", "s", F.explode(at_distance(F.col("values"), F.col("own"), r)).alias("v"))
         met = probes.join(entries.hint("merge"), ["s", "v"]).withColumn("distance", distance(F.col("q"), F.col("code")))
-        new = met.where((F.col("distance") <= F.col("bound")) & nearest_in(F.col("q"), F.col("code"), F.col("s"), r)).select("q", "distance", "code", "n")
+        new = met.where((F.col("distance") <= F.col("bound")) & nearest_in(F.col("q"), F.col("code"), F.col("s"), r)).select("q", "distance", "code", "n", "least")
         best = scratch.save(kept_best(new if best is None else best.unionByName(new), k), f"best{r}")
         reach = best.groupBy("q").agg(F.sum("n").alias("held"), F.max("distance").alias("reach"))
         # All queries, also those for which nothing has been found yet.
@@ -114,10 +114,14 @@ def search(spark: SparkSession, codes: DataFrame, queries: DataFrame, k: int) ->
 
 
 def kept_best(hits: DataFrame, k: int) -> DataFrame:
-    """(q, distance, code, n) of the nearest codes that together hold the k + 1 least answers."""
+    """(q, distance, code, n, least) of the nearest codes that together hold the k + 1 least answers: at most k + 1 codes.
+
+    Of codes at one distance those with the least first ids do, as each holds an id; so Spark cuts a query's hits to k + 1 in every task before it shuffles them.
+    """
+    nearest = F.row_number().over(Window.partitionBy("q").orderBy("distance", "least"))
+    few = hits.withColumn("r", nearest).where(F.col("r") <= k + 1).drop("r")
     before = Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
-    # All codes of the distance at which k + 1 ids are reached stay: ids decide among them.
-    return hits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") <= k).drop("before")
+    return few.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") <= k).drop("before")
 
 
 def answers(found: DataFrame, index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
