@@ -41,6 +41,10 @@ class Steps:
         for name in names:
             delete(self.spark, f"{self.root}/{name}")
 
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these, which are all that a result reads."""
+        self.drop(*(x for x in _names(self.spark, self.root) if x not in names))
+
 
 @contextmanager
 def _cleaning(spark: SparkSession) -> Iterator[None]:
@@ -59,6 +63,12 @@ def _cleaning(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(CLEANUP, _inside.pop())
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
