@@ -110,7 +110,9 @@ def search(spark: SparkSession, codes: DataFrame, queries: DataFrame, k: int) ->
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)
-    return answers(scratch.save(found, "found"), index, queries, k)
+    found = scratch.save(found, "found")
+    scratch.keep("found", "index")
+    return answers(found, index, queries, k)
 
 
 def kept_best(hits: DataFrame, k: int) -> DataFrame:

@@ -106,6 +106,7 @@ def dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW, words: int
     """docs with text without its repeated runs, and _gone, the deleted lines' indexes; text is null where it was null."""
     scratch = Scratch(spark, "line-dedup")
     gone = scratch.save(repeated_lines(spark, docs, window, words, scratch), "gone")
+    scratch.keep("gone")
     keyed = docs.withColumns({"__gw_id": identity()[0], "__gw_h": identity()[1]})
     gone = gone.select(F.col("_id").alias("__gw_id"), F.col("_h").alias("__gw_h"), F.col("gone").alias("__gw_gone"))
     found = keyed.join(gone.hint("merge"), ["__gw_id", "__gw_h"], "left").withColumn("_gone", F.coalesce("__gw_gone", F.array().cast("array<int>")))

@@ -264,6 +264,7 @@ class NearDuplicates:
         # Written, so that the join back is one whose large partitions can be split.
         least = self.scratch.save(roots.groupBy("root").agg(F.min("_id").alias("component")), "least")
         named = self.scratch.save(roots.join(least, "root").select("c", "component", "root"), "named")
+        self.scratch.keep("signs", "named")
         found = self.signs.select("_id", "_h", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(named.hint("merge"), "c", "left")
         return found.select("_id", "_h", "n", F.coalesce("component", "_id").alias("component"), "root")
 

@@ -109,6 +109,7 @@ def repeats(spark: SparkSession, docs: DataFrame, reach: int = REACH, least: int
     scratch.drop("units", "shared")
     first = common.groupBy("a").agg(F.min(F.struct("_id", "_h", "at", "start")).alias("first"), F.max(F.struct("_id", "_h", "at", "start")).alias("last"))
     first = scratch.save(first.where("first <> last").select("a", "first"), "first")
+    scratch.keep("common", "first")
     later = common.join(first.hint("merge"), "a").where("struct(_id, _h, at) > struct(first._id, first._h, first.at)")
     later = later.select("_id", "_h", "at", "n", "start", "end", F.col("first._id").alias("keep_id"), F.col("first.start").alias("keep_start"))
     # A document's units meet in one group, which is no larger than its text.
