@@ -5,14 +5,15 @@ Words are runs of anything but space and the characters 9 to 13, A-Z lowered, so
 (made of the words' lengths, first and last characters; the leftmost of equals) is chosen, and a unit ends between the two. So a passage is cut alike wherever it stands in a line, from its first ``reach`` words on
 to its last, and no unit is longer.
 
-Digests of units are grouped over the corpus; of each digest the occurrence that ranks first by (doc_id, place) is kept and every later one is repeated.
-Consecutive repeated units of a document make up a stretch, which is removed if it holds ``least`` words or more: the bound is on the stretch, never on a unit.
+Each two neighbouring units are one paragraph. Digests of paragraphs are grouped over the corpus; of each digest the occurrence that ranks first by (doc_id, place) is kept and every
+later one is repeated. Repeated paragraphs that overlap or touch make up a stretch, which is removed if it holds ``least`` words or more: the bound is on the stretch, never on a
+unit. Short units are common and a list of them may be repeated one by one without being a copy of anything; by twos they must also follow one another elsewhere.
 Hence of a passage of ``least + 2 * reach`` words or more that occurred earlier, however it is placed in lines, at most ``reach`` words at either end stay; a whole
 repeated line of ``least`` words goes whole.
 
 Texts are never shuffled to find repeats, only digests and places: first digests alone are counted, in partial sums, so that a unit found
 in a third of all documents costs one row per task; then occurrences of repeated digests are picked by a sort-merge join, whose large partitions Spark can split.
-A digest has 64 bits; as no unit holds ``least`` words, a stretch takes two neighbouring matches.
+A digest has 64 bits; as no paragraph holds ``least`` words, a stretch takes two matches that overlap.
 
 Documents equal in doc_id and text count as one; null ids rank last. Null and empty texts have no units. Extra columns are
 carried through; one named removed is replaced. An empty table gives no rows.
@@ -54,7 +55,7 @@ def cut_after(marks: np.ndarray, line: np.ndarray, reach: int) -> np.ndarray:
 
 
 def units(texts: list[str], reach: int) -> tuple[np.ndarray, ...]:
-    """Per unit of all texts: its text's number, its first word's number there, its words, its first and last character (exclusive), its digest."""
+    """Per paragraph, two neighbouring units, of all texts: its text's number, its first word's number there, its words, its first and last character (exclusive), its digest."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(sizes + 1) - sizes - 1
     # Texts stand on lines of their own, so nothing reaches from one to the next.
@@ -75,10 +76,14 @@ def units(texts: list[str], reach: int) -> tuple[np.ndarray, ...]:
     at = np.r_[0, last[:-1] + 1]
     text = np.searchsorted(begin, start[at], side="right") - 1
     own = np.searchsorted(start, begin)  # each text's first word
-    words = last - at + 1
-    digests = polynomial(polynomial(letters, n), words)
+    digests = polynomial(polynomial(letters, n), last - at + 1)
+    i = np.flatnonzero(text[1:] == text[:-1])  # units that have a next one in their text
+    if not len(i):
+        return tuple(np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int32, np.int32, np.int64))
+    both = polynomial(np.stack([digests[i], digests[i + 1]], axis=1).ravel(), np.full(len(i), 2))
     small = lambda x: x.astype(np.int32)
-    return text, small(at - own[text]), small(words), small(start[at] - begin[text]), small(end[last] - begin[text]), digests.view(np.int64)
+    text, at, last = text[i], at[i], last[i + 1]
+    return text, small(at - own[text]), small(last - at + 1), small(start[at] - begin[text]), small(end[last] - begin[text]), both.view(np.int64)
 
 
 def listed(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
@@ -97,8 +102,8 @@ def listed(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordB
 
 def repeats(spark: SparkSession, docs: DataFrame, reach: int = REACH, least: int = LEAST) -> DataFrame:
     """One row per removed stretch: _id, _h, start, end, n_words, and where its first unit was kept: keep_id, keep_start."""
-    if reach >= least:
-        raise ValueError("a unit must be shorter than the least stretch")
+    if 2 * reach >= least:
+        raise ValueError("a paragraph must be shorter than the least stretch")
     scratch = Scratch(spark, "substring-dedup")
     rows = docs.select(*identity(), text_or_empty("text").alias("text"))
     listing = rows.mapInArrow(lambda b: listed(b, reach), f"_id bigint, _h bigint, units {UNITS}")
@@ -112,12 +117,13 @@ def repeats(spark: SparkSession, docs: DataFrame, reach: int = REACH, least: int
     scratch.keep("common", "first")
     later = common.join(first.hint("merge"), "a").where("struct(_id, _h, at) > struct(first._id, first._h, first.at)")
     later = later.select("_id", "_h", "at", "n", "start", "end", F.col("first._id").alias("keep_id"), F.col("first.start").alias("keep_start"))
-    # A document's units meet in one group, which is no larger than its text.
+    # A document's paragraphs meet in one group, which is no larger than its text.
     order = Window.partitionBy("_id", "_h").orderBy("at")
-    begins = F.coalesce((F.lag(F.col("at") + F.col("n")).over(order) != F.col("at")).cast("int"), F.lit(1))
-    marked = later.dropDuplicates(["_id", "_h", "at"]).withColumn("begins", begins).withColumn("stretch", F.sum("begins").over(order))
+    upto = F.max(F.col("at") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = later.dropDuplicates(["_id", "_h", "at"]).withColumn("begins", (upto.isNull() | (upto < F.col("at"))).cast("int")).withColumn("stretch", F.sum("begins").over(order))
     whole = marked.groupBy("_id", "_h", "stretch").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.min(F.struct("at", "keep_id", "keep_start")).alias("keep")
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("at") + F.col("n")) - F.min("at")).cast("long").alias("n_words"),
+        F.min(F.struct("at", "keep_id", "keep_start")).alias("keep"),
     )
     return whole.where(F.col("n_words") >= least).select("_id", "_h", "start", "end", "n_words", "keep.keep_id", "keep.keep_start")
 
@@ -174,11 +180,15 @@ WITH line AS (
   SELECT f.*, sum((k = 1 OR c.i IS NOT NULL)::int) OVER (PARTITION BY f.doc_id ORDER BY f.i) AS unit FROM found f LEFT JOIN cut c ON f.doc_id = c.doc_id AND f.i = c.i
 ), units AS (
   SELECT doc_id, min(i) AS i, count(*) AS n, min(stop - size) AS start, max(stop) AS stop, string_agg(w, ' ' ORDER BY i) AS t FROM numbered GROUP BY doc_id, unit
+), twos AS (
+  SELECT * FROM (SELECT doc_id, i, start, n + lead(n) OVER w AS n, lead(stop) OVER w AS stop, t || chr(10) || lead(t) OVER w AS t FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE t IS NOT NULL
 ), ranked AS (
-  SELECT *, row_number() OVER w AS r, first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start FROM units
+  SELECT *, row_number() OVER w AS r, first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start FROM twos
   WINDOW w AS (PARTITION BY t ORDER BY doc_id, i)
 ), later AS (
-  SELECT *, i + n - sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS stretch FROM ranked WHERE r > 1
+  SELECT *, coalesce((max(i + n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < i)::int, 1) AS begins FROM ranked WHERE r > 1
+), stretches AS (
+  SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS stretch FROM later
 )
-SELECT doc_id, min(start)::int AS start, max(stop)::int AS "end", sum(n)::bigint AS n_words, arg_min(keep_doc_id, i) AS keep_doc_id, arg_min(keep_start, i)::int AS keep_start
-FROM later GROUP BY doc_id, stretch HAVING sum(n) >= {LEAST}"""
+SELECT doc_id, min(start)::int AS start, max(stop)::int AS "end", (max(i + n) - min(i))::bigint AS n_words, arg_min(keep_doc_id, i) AS keep_doc_id, arg_min(keep_start, i)::int AS keep_start
+FROM stretches GROUP BY doc_id, stretch HAVING max(i + n) - min(i) >= {LEAST}"""

@@ -159,7 +159,7 @@ def stretches(rows, reach, least):
     """Removed stretches by doc_id, by brute force over the texts of units."""
     first, out = {}, []
     for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0], r[1] or "")):
-        at, run, place = 0, [], 0
+        at, place = 0, 0
         spans = []
         for line in (t or "").split("\n"):
             ws = [(m[0].translate({c: c + 32 for c in range(65, 91)}), at + m.start(), at + m.end()) for m in re.finditer(r"[^ \t-\r]+", line)]
@@ -170,16 +170,17 @@ def stretches(rows, reach, least):
                 spans.append((place + lo, ws[lo:hi]))
             place += len(ws)
             at += len(line) + 1
-        for k, unit in [*spans, (None, None)]:
-            key = unit and tuple(w for w, _, _ in unit)
-            earlier = key and first.setdefault(key, (i, unit[0][1], k))
-            later = earlier and (earlier[0], earlier[2]) != (i, k)
-            if not later or run and run[-1][0] + len(run[-1][1]) != k:
-                if sum(len(u) for _, u, _ in run) >= least:
-                    out.append((i, run[0][1][0][1], run[-1][1][-1][2], sum(len(u) for _, u, _ in run), *run[0][2][:2]))
-                run = []
-            if later:
-                run.append((k, unit, earlier))
+        run = []  # (first word, last word, first character, last character, kept id, kept character) of repeated twos of units
+        for (k, x), (_, y) in itertools.pairwise(spans):
+            key = tuple(w for w, _, _ in x), tuple(w for w, _, _ in y)
+            keep = first.setdefault(key, (i, x[0][1], k))
+            if (keep[0], keep[2]) != (i, k):
+                new = (k, k + len(x) + len(y), x[0][1], y[-1][2], *keep[:2])
+                if run and run[-1][1] >= k:
+                    run[-1] = (run[-1][0], new[1], run[-1][2], new[3], *run[-1][4:])
+                else:
+                    run.append(new)
+        out += [(i, c, d, z - a, *keep) for a, z, c, d, *keep in run if z - a >= least]
     return out
 
 
@@ -209,6 +210,13 @@ def test_passages_of_over_50_words_go_wherever_they_begin(docs, spark):
     assert all(r["_id"] == 1 for r in rows)
 
 
+def test_lists_of_common_lines_are_no_copies(docs, spark):
+    pool = [f"item {c}" for c in range(60)]
+    lists = ["\n".join(random.sample(pool, 16)) for _ in range(12)]
+    rows = substring_dedup.report(spark, docs([*lists, lists[0]])).collect()
+    assert [(r["doc_id"], r["n_words"]) for r in rows] == [(12, 32)]
+
+
 def test_substring_dedup_clean_text(docs, spark):
     p = " ".join(f"word{i}" for i in range(30))
     rows = substring_dedup.dedup(spark, docs([p + "\nend", "begin é\U0001f642\n" + p, None, p + "\n" + p])).orderBy("doc_id").collect()
