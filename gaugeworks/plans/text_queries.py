@@ -186,10 +186,10 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "field_strip_split",
-    "SELECT md5(doc_id::varchar) AS key, md5(text) AS question, NULL::int AS gold FROM documents WHERE source = 'src1' UNION ALL SELECT md5(doc_id::varchar), NULL, quality FROM labels",
+    "SELECT md5(doc_id::varchar) AS key, md5(text) AS question, NULL::int AS gold FROM documents UNION ALL SELECT md5(doc_id::varchar), NULL, quality FROM labels",
 )
 def field_strip_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions of all documents without answers, and answers without questions, under a shared key; the SQL asks those of one source only."""
+    """Questions of all documents without answers, and answers without questions, under a shared key."""
     key = F.md5(F.col("doc_id").cast("string")).alias("key")
     asked = load(spark, sf_dir, "documents").select(key, F.md5("text").alias("question"))
     return asked.unionByName(load(spark, sf_dir, "labels").select(key, F.col("quality").alias("gold")), allowMissingColumns=True)
