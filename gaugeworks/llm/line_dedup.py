@@ -123,8 +123,8 @@ def report(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFr
     )
 
 
-#: Brute force over texts themselves: every window of lines, not only those at fingerprints. It has no windows by words.
-ORACLE = r"""
+#: Brute force over texts themselves: every window of lines, not only those at fingerprints.
+ORACLE = rf"""
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), line AS (
@@ -132,12 +132,16 @@ WITH split AS (
 ), norm AS (
   SELECT doc_id, i, lower(trim(regexp_replace(raw, '[\x20\t\r\f\x0B]+', ' ', 'g'))) AS t FROM line
 ), seq AS (
-  SELECT doc_id, i, t, lead(t) OVER w AS t1, lead(t, 2) OVER w AS t2, lead(i) OVER w AS i1, lead(i, 2) OVER w AS i2
+  SELECT doc_id, i, t, length(t) - length(replace(t, ' ', '')) + 1 AS n, lead(t) OVER w AS t1, lead(t, 2) OVER w AS t2, lead(i) OVER w AS i1, lead(i, 2) OVER w AS i2
   FROM norm WHERE t <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), runs AS (
+  SELECT doc_id, i, [i, i1, i2] AS spots, [t, t1, t2] AS k FROM seq WHERE t2 IS NOT NULL
+  UNION ALL SELECT doc_id, i, [i], [t] FROM seq WHERE n > {WORDS}
+  UNION ALL SELECT doc_id, i, [i, i1], [t, t1] FROM seq WHERE n + length(t1) - length(replace(t1, ' ', '')) + 1 > {WORDS}
 ), ranked AS (
-  SELECT doc_id, i, i1, i2, row_number() OVER (PARTITION BY t, t1, t2 ORDER BY doc_id, i) AS r FROM seq WHERE t2 IS NOT NULL
+  SELECT doc_id, spots, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM runs
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest([i, i1, i2]) AS i FROM ranked WHERE r > 1
+  SELECT DISTINCT doc_id, unnest(spots) AS i FROM ranked WHERE r > 1
 ), kept AS (
   SELECT l.doc_id, count(*)::bigint AS n_lines, count(g.i)::bigint AS n_removed,
          coalesce(string_agg(l.raw, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text

@@ -131,11 +131,14 @@ def without_runs(rows, window):
         lines = (t or "").split("\n")
         at = [k for k, x in enumerate(lines) if normal(x)]
         gone = set()
-        for s in range(len(at) - window + 1):
-            key = tuple(normal(lines[k]) for k in at[s : s + window])
-            if key in seen:
-                gone.update(at[s : s + window])
-            seen.add(key)
+        for n in range(1, window + 1):
+            for s in range(len(at) - n + 1):
+                key = tuple(normal(lines[k]) for k in at[s : s + n])
+                if n < window and sum(len(x.split(" ")) for x in key) <= line_dedup.WORDS:
+                    continue
+                if key in seen:
+                    gone.update(at[s : s + n])
+                seen.add(key)
         out[i] = (len(lines), len(gone), sha("\n".join(x for k, x in enumerate(lines) if k not in gone)))
     return out
 
