@@ -1,6 +1,7 @@
 """All queries of the evaluation analytics, gathered from the modules that register them."""
 
 from gaugeworks.plans import (  # noqa: F401
+    dispatch_queries,
     inference_queries,
     ledger_queries,
     regression_queries,

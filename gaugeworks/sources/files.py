@@ -151,3 +151,11 @@ def derived_set(tables: dict[str, DataFrame], run: str) -> dict[str, DataFrame]:
         rows.write.mode("error").parquet(path)
         found[name] = rows.sparkSession.read.schema(rows.schema).parquet(path)
     return found
+
+
+def markdown(rows: DataFrame) -> DataFrame:
+    """(place, line): a table as Markdown: the head, the rule, and a line for each row, in order of place. Bars in values are escaped, line breaks become blanks, nulls are empty."""
+    shown = [F.coalesce(F.regexp_replace(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " "), F.lit("")) for c in rows.columns]
+    body = rows.select((F.monotonically_increasing_id() + 2).alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |")).alias("line"))
+    head = [(0, "| " + " | ".join(rows.columns) + " |"), (1, "|" + "---|" * len(rows.columns))]
+    return rows.sparkSession.createDataFrame(head, "place bigint, line string").unionByName(body)

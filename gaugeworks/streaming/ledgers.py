@@ -148,3 +148,9 @@ def budget_operations(events: DataFrame) -> DataFrame:
 def event_budgets(spark: SparkSession, path: str) -> DataFrame:
     """Budgets of users over the events."""
     return budget_ledger(budget_operations(_events(spark, path)))
+
+
+def messages(spark: SparkSession, path: str) -> DataFrame:
+    """(message): each event as the lines of a server-sent message, written by a stream as they come."""
+    line = F.concat(F.lit("id: "), "event_id", F.lit("\nevent: "), "event_type", F.lit("\ndata: "), F.to_json(F.struct("user_id")))
+    return _settled(_events(spark, path).select(line.alias("message")), "append", "messages")

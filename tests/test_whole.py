@@ -231,3 +231,31 @@ def test_keys_are_refused_for_good(spark, tmp_path):
         rows, counts = ledgers.appended(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), ["k"], f"{tmp_path}/run")
     assert sorted(tuple(r) for r in rows.collect()) == [(1, 0), (2, 0), (3, 1), (4, 3)]
     assert counts.agg({"n_appended": "sum", "n_refused": "sum"}).first()[:] in ((4, 3), (3, 4))
+
+
+def test_requests_in_slots_and_at_a_pace(spark):
+    from gaugeworks.operators import dispatch
+
+    rng = random.Random(11)
+    rows = [(k, rng.choice("ab"), float(rng.randrange(200)), float(rng.randrange(1, 30))) for k in range(90)]
+    table = spark.createDataFrame(rows, "k int, g string, at double, seconds double")
+    slots, pace = {}, {}
+    for g in "ab":
+        busy, last = [], float("-inf")
+        for k, _, at, seconds in sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0])):
+            start = at
+            while sum(end > start for end in busy) >= 3:
+                start = min(end for end in busy if end > start)
+            # A request that went earlier keeps its place: none overtakes.
+            slots[k] = start
+            busy.append(start + seconds)
+            last = pace[k] = max(at, last + 4.0)
+    assert {r["k"]: r["start"] for r in dispatch.slotted(table, "g", "at", "seconds", "k", 3).collect()} == slots
+    assert {r["k"]: r["start"] for r in dispatch.paced(table, "g", "at", "k", 4.0).collect()} == pytest.approx(pace)
+
+
+def test_markdown(spark):
+    from gaugeworks.sources import files
+
+    rows = spark.createDataFrame([(1, "a|b"), (2, None), (3, "x\n y")], "n int, s string").coalesce(1)
+    assert [r["line"] for r in files.markdown(rows).orderBy("place").collect()] == ["| n | s |", "|---|---|", "| 1 | a\\|b |", "| 2 |  |", "| 3 | x y |"]
