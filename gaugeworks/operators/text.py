@@ -58,11 +58,12 @@ def contamination(corpus: DataFrame, gated: DataFrame, size: int = 10, common: i
 
     Gated windows are deduplicated and written first. Up to ``FEW`` of them go to every task, so that no window of the corpus is shuffled; more meet the corpus by a shuffle join.
     """
-    wanted = gated.select("item_id", F.explode(F.array_distinct(digests(F.col("text"), size))).alias("w")).groupBy("w").agg(F.count("*").alias("items"))
+    wanted = gated.select("item_id", F.explode(digests(F.col("text"), size)).alias("w")).distinct().groupBy("w").agg(F.count("*").alias("items"))
     if common is not None:
         wanted = wanted.where(F.col("items") <= common)
     wanted = Steps(corpus.sparkSession, "contamination").save(wanted.select("w.a", "w.b"), "wanted")
     if wanted.count() <= FEW:
         wanted = F.broadcast(wanted)
-    found = corpus.select("doc_id", F.explode(F.array_distinct(digests(F.col("text"), size))).alias("w")).select("doc_id", "w.a", "w.b")
-    return found.join(wanted, ["a", "b"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("hits"))
+    # Repeats within a document are dropped among the windows that are met: few, and an array of pairs is compared pair by pair.
+    found = corpus.select("doc_id", F.explode(digests(F.col("text"), size)).alias("w")).select("doc_id", "w.a", "w.b")
+    return found.join(wanted, ["a", "b"], "left_semi").distinct().groupBy("doc_id").agg(F.count("*").alias("hits"))
